@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chunk_dedup, langid, mixing
+from . import chunk_dedup, langid, mixing, near_join
 
 QUERIES: dict[str, Callable] = {
     "op3_exact_dedup": chunk_dedup.op3_exact_dedup,
+    "op4_ngram_join": near_join.op4_ngram_join,
     "op8_mixing": mixing.op8_mixing,
     "op9_language_id": langid.op9_language_id,
 }
