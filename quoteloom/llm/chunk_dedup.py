@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import documents, salted_lookup
 from .textkit import _TABLE
@@ -66,11 +67,11 @@ def _texts(b: pa.RecordBatch) -> Iterator[bytes]:
         yield (t.as_py() or "").encode("utf-8", "surrogatepass")
 
 
-def _recipes(bits: int):
+def _recipes(bits: int, names: list[str]):
     def run(batches):
         for b in batches:
             lists = [[_hash(c, bits) for c in chunks(raw)] for raw in _texts(b)]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("text_sha256"), pa.array(lists, pa.list_(pa.int64()))], ["row", "doc_id", "text_sha256", "recipe"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(lists, pa.list_(pa.int64()))], [*names, "recipe"])
 
     return run
 
@@ -89,6 +90,26 @@ def _chunk_rows(bits: int):
     return run
 
 
+def _grouped(rows: DataFrame, bits: int) -> DataFrame:
+    """rows (row, doc_id, text, more) -> the same with keep_id, group_size and kept."""
+    names = rows.columns
+    recipes = rows.mapInArrow(_recipes(bits, names), StructType([*rows.schema.fields, StructField("recipe", ArrayType(LongType()))]))
+    known = rows.select("text").mapInArrow(_chunk_rows(bits), "h long, chunk binary").distinct()
+    clashes = known.groupBy("h").count().where("count > 1").select("h")
+    exact = F.lit(None).cast("string")
+    if clashes.limit(1).count():
+        hit = recipes.select("row", F.explode("recipe").alias("h")).distinct().join(clashes, "h", "left_semi").select("row", F.lit(True).alias("clash")).distinct()
+        recipes = recipes.join(hit, "row", "left")
+        exact = F.when(F.col("clash"), F.coalesce("text", F.lit("")))
+    recipes = recipes.withColumn("key", F.struct("recipe", exact.alias("exact"))).drop("recipe", "clash")
+    best = F.max(F.struct("doc_id", "row")).alias("best")
+    groups = recipes.groupBy("key").agg(best, F.count("*").alias("group_size")).where("group_size > 1").select("key", F.col("best.doc_id").alias("keep_id"), "group_size", F.col("best.row").alias("keep_row"))
+    out = salted_lookup(recipes, groups, "key", "row")
+    alone = F.col("group_size").isNull()
+    kept = F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True))
+    return out.withColumn("keep_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1)).cast("long")).withColumn("kept", kept).select(*names, "keep_id", "group_size", "kept")
+
+
 def dedup(docs: DataFrame, bits: int = 64) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of each row of docs (doc_id, text).
 
@@ -101,21 +122,17 @@ def dedup(docs: DataFrame, bits: int = 64) -> DataFrame:
     and a null doc_id is the smallest. Other columns aren't read; an empty table
     gives an empty result.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
-    recipes = rows.mapInArrow(_recipes(bits), "row long, doc_id long, text_sha256 string, recipe array<long>")
-    known = base.select("text").mapInArrow(_chunk_rows(bits), "h long, chunk binary").distinct()
-    clashes = known.groupBy("h").count().where("count > 1").select("h")
-    recipes = recipes.withColumn("exact", F.lit(None).cast("string"))
-    if clashes.limit(1).count():
-        hit = recipes.select("row", F.explode("recipe").alias("h")).distinct().join(clashes, "h", "left_semi").select("row").distinct()
-        held = rows.select("row", "text").join(hit, "row", "left_semi").withColumnRenamed("text", "held")
-        recipes = recipes.join(held, "row", "left").withColumn("exact", F.col("held")).drop("held")
-    recipes = recipes.withColumn("key", F.struct("recipe", "exact"))
-    groups = recipes.groupBy("key").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row")).alias("best")).where("group_size > 1").select("key", "keep_id", "group_size", F.col("best.row").alias("keep_row"))
-    out = salted_lookup(recipes, groups, "key", "row")
-    alone = F.col("group_size").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)).alias("kept"), "text_sha256")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = rows.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    return _grouped(rows, bits).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def keep_rows(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """The rows that dedup() keeps, with all columns of docs."""
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.struct(F.lit(0).alias("_"), *more).alias("more"))
+    kept = _grouped(rows, bits).where("kept")
+    return kept.select(*[F.col(f"more.`{c}`").alias(c) if c in more else F.col(c) for c in docs.columns])
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

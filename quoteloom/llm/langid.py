@@ -155,6 +155,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that identify() doesn't reject, with all their columns; a null lang becomes the predicted one."""
+
+    def run(batches):
+        for b in batches:
+            got = [model.predict(t.as_py()) for t in b.column("text")]
+            langs = [old if old is not None else new[0] for old, new in zip(b.column("lang").to_pylist(), got, strict=True)]
+            b = b.set_column(b.schema.get_field_index("lang"), b.schema.field("lang"), pa.array(langs, b.schema.field("lang").type))
+            yield b.filter(pa.array([not g[2] for g in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> F.Column:
     """Whether crc32 of doc_id as text leaves 0 modulo 5."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -145,6 +145,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: int
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def keep_mix(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, each as often as the mix takes it.
+
+    Rows that share a doc_id are taken together: each as often as the one that mix() takes most.
+    """
+    taken = mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("_row")).join(stored(taken), "doc_id")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_k")).select("_row.*")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: mixes all documents."""
     return mix(documents(spark, sf_dir))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chunk_dedup, langid, mixing, near_join
+from . import chunk_dedup, langid, mixing, near_join, packing, token_files
 
 QUERIES: dict[str, Callable] = {
     "op3_exact_dedup": chunk_dedup.op3_exact_dedup,
     "op4_ngram_join": near_join.op4_ngram_join,
+    "op5_packing": packing.op5_packing,
+    "op7_token_files": token_files.op7_token_files,
     "op8_mixing": mixing.op8_mixing,
     "op9_language_id": langid.op9_language_id,
 }
