@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chunk_dedup, langid, mixing, near_join, packing, token_files
+from . import chunk_dedup, langid, mixing, near_join, packing, quality, rollups, secrets, token_files
 
 QUERIES: dict[str, Callable] = {
+    "op2_quality_rules": quality.op2_quality_rules,
     "op3_exact_dedup": chunk_dedup.op3_exact_dedup,
     "op4_ngram_join": near_join.op4_ngram_join,
     "op5_packing": packing.op5_packing,
+    "op6_secret_scan": secrets.op6_secret_scan,
     "op7_token_files": token_files.op7_token_files,
     "op8_mixing": mixing.op8_mixing,
     "op9_language_id": langid.op9_language_id,
+    "op10_token_rollup": rollups.op10_token_rollup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": chunk_dedup.ORACLE,
+    "op10_token_rollup": rollups.ORACLE,
 }
