@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chunk_dedup, langid, mixing, near_join, packing, quality, rollups, secrets, token_files
+from . import chunk_dedup, langid, mixing, near_join, packing, quality, rollups, secrets, suffix_dedup, token_files
 
 QUERIES: dict[str, Callable] = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_exact_dedup": chunk_dedup.op3_exact_dedup,
     "op4_ngram_join": near_join.op4_ngram_join,
