@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Zero-width characters that identifiers lose.
 ZERO_WIDTH = "﻿​‌‍⁠"
@@ -19,7 +20,7 @@ PLACEHOLDERS = ("non", "n/a", "na", "none", "tbd", "-", "--", ".", "…")
 _NUMBER = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode compatibility folding; ASCII passes through."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Units that are joined to the number before them.
 UNITS = "mm|cm|m|km|kg|g|mg|ton|tons|in|inch|inches|ft|feet|sqm|cbm|pcs|nos|no|set|sets|pkt|box|boxes|ltr|liter|liters|gal|amp|amps|volt|volts|watt|watts|hp|kva|kw|psi|bar"
@@ -40,7 +41,7 @@ def token_set(toks: Column, least: int) -> Column:
     return F.array_distinct(F.filter(toks, lambda t: F.length(t) >= least))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two texts."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
