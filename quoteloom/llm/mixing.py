@@ -151,7 +151,7 @@ def keep_mix(docs: DataFrame) -> DataFrame:
     Rows that share a doc_id are taken together: each as often as the one that mix() takes most.
     """
     taken = stored(mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0"))
-    rows = docs.select(F.col("doc_id").alias("_key"), F.struct(*docs.columns).alias("_row")).join(taken, F.col("_key").eqNullSafe(F.col("_id")))
+    rows = docs.select(F.col("doc_id").alias("_key"), F.struct(*docs.columns).alias("_row")).join(taken.hint("merge"), F.col("_key").eqNullSafe(F.col("_id")))
     return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_k")).select("_row.*")
 
 
