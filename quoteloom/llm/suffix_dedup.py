@@ -19,9 +19,9 @@ LENGTH = 200
 #: Bytes of an anchor. Each string of LENGTH bytes has one: its k-gram of the lowest hash, the last of equal ones.
 ANCHOR = 32
 #: Occurrences of an anchor that one sort takes, about; those of a more frequent one are dealt to several.
-GROUP = 2_000
+GROUP = 1_000
 #: Rows that are sorted together.
-ROWS = 4_096
+ROWS = 2_048
 #: Bytes of a text that are hashed at once.
 BLOCK = 1 << 20
 
@@ -114,9 +114,16 @@ def _anchors(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (hs, ids, packed)], ["h", "did", "place"])
 
 
+def _pieces(batches, n: int = 256):
+    """Batches of a few rows: what is unpacked from them stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, n):
+            yield b.slice(at, n)
+
+
 def _packed(batches):
     z = zstandard.ZstdCompressor(level=3)
-    for b in batches:
+    for b in _pieces(batches):
         rows = list(_rows(b))
         yield pa.RecordBatch.from_arrays([pa.array([_identity(i, t) for i, t in rows], pa.int64()), pa.array([i for i, _ in rows], pa.int64()), pa.array([z.compress(t.encode("utf-8", "surrogatepass")) for _, t in rows], pa.binary())], ["did", "doc_id", "z"])
 
@@ -125,7 +132,7 @@ def _cut(batches):
     """Documents with their repeated anchors -> the strings around each anchor."""
     z = zstandard.ZstdDecompressor()
     names = ["h", "part", "did", "at", "lead", "bytes"]
-    for b in batches:
+    for b in _pieces(batches):
         rows: list[tuple] = []
         for did, raw, found in zip(b.column("did").to_pylist(), b.column("z").to_pylist(), b.column("found").to_pylist(), strict=True):
             raw = z.decompress(raw)
@@ -189,7 +196,7 @@ def _search(batches):
         return pa.RecordBatch.from_arrays([pa.array([h if d is not None else None for d in cols[4]], pa.int64()), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True))], ["h", "did", "start", "end", "offset", "digest"])
 
     held: list[tuple] = []
-    for b in batches:
+    for b in _pieces(batches, 1024):
         for r in zip(*(b.column(n).to_pylist() for n in ("h", "part", "did", "at", "lead", "bytes")), strict=True):
             if held and r[:2] != held[-1][:2] and (len(held) >= ROWS or r[1] >= 0 or held[-1][1] >= 0):
                 yield emit(held)
@@ -201,7 +208,7 @@ def _search(batches):
 
 def _remove(batches):
     z = zstandard.ZstdDecompressor()
-    for b in batches:
+    for b in _pieces(batches):
         rows = []
         for doc_id, raw, spans in zip(b.column("doc_id").to_pylist(), b.column("z").to_pylist(), b.column("spans").to_pylist(), strict=True):
             raw = z.decompress(raw)
@@ -240,7 +247,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", "text")
     found = rows.mapInArrow(_anchors, "h long, did long, place long")
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    # stored, so that both sides of the join are dealt anew and Spark can split a frequent anchor
+    twice = stored(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     parts = F.when(F.col("n") > GROUP, F.ceil(F.col("n") / GROUP)).otherwise(0)
     places = found.join(twice, "h").groupBy("did").agg(F.collect_set(F.struct("place", "h", parts.cast("long").alias("parts"))).alias("found"))
     texts = rows.mapInArrow(_packed, "did long, doc_id long, z binary")
