@@ -328,7 +328,7 @@ def llm_json_loose(spark, d):
     return messy(spark, d, _JSON).select("n_nationkey", "i", S.json_loose(F.col("raw")).alias("json"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 3 THEN NULL WHEN s_suppkey % 4 = 2 THEN round(least(100.0, s_suppkey % 130), 1) WHEN s_suppkey % 4 = 1 THEN round(least(100.0, s_suppkey % 90), 1) ELSE round(least(100.0, 0.55 * (s_suppkey % 90) + 0.45 * (s_suppkey % 130)), 1) END AS confidence FROM supplier")
+@query("SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 4 = 3 THEN NULL WHEN s_suppkey % 4 = 2 THEN round(least(100.0, s_suppkey % 130), 1) WHEN s_suppkey % 4 = 1 THEN round(least(100.0, s_suppkey % 90), 1) ELSE round(least(100.0, 0.55 * (s_suppkey % 90) + 0.45 * (s_suppkey % 130)), 1) END AS DOUBLE) AS confidence FROM supplier")
 def blend_confidence(spark, d):
     k = F.col("s_suppkey")
     s = spark.read.parquet(f"{d}/supplier.parquet")
@@ -638,7 +638,7 @@ def attr_extract(spark, d):
 
 _FILTER = """WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS q, CAST(p_size % 23 + 1 AS DOUBLE) AS c FROM part),
 f AS (SELECT p_partkey, abs(q - c) <= 0.5 OR abs(q - c) <= 0.1 * greatest(q, c) AS close, p_partkey % 3 = 0 AS unsure, p_partkey % 5 = 0 AS missing, p_partkey % 2 = 0 AS wood FROM p)
-SELECT p_partkey, missing OR close OR unsure AS keep, CASE WHEN NOT (missing OR close OR unsure) THEN 0.0 ELSE round(CASE WHEN missing THEN 0.1 WHEN close THEN 0.0 ELSE 0.4 END + CASE WHEN wood THEN 0.4 ELSE 0.0 END, 6) END AS penalty FROM f"""
+SELECT p_partkey, missing OR close OR unsure AS keep, CAST(CASE WHEN NOT (missing OR close OR unsure) THEN 0.0 ELSE round(CASE WHEN missing THEN 0.1 WHEN close THEN 0.0 ELSE 0.4 END + CASE WHEN wood THEN 0.4 ELSE 0.0 END, 6) END AS DOUBLE) AS penalty FROM f"""
 
 
 @query(_FILTER)
