@@ -3,22 +3,34 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import regex
 
 #: Words whose ids a worker keeps; when it has more it starts anew.
-WORDS = 400_000
+WORDS = 700_000
 #: Characters that are split at once.
 STEP = 1 << 20
 
 #: Fixed value: how this kind of vocabulary splits text before it merges bytes.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Words that both regular expression engines surely split alike.
+#: The same for ASCII texts, where the standard library's engine is faster.
+_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+#: Words that all these engines surely split alike.
 _PLAIN = regex.compile(r"[ \p{L}!-~\n]+")
-_ODD = regex.compile(r"\s | \s|^ | \Z|\x1c|\x1d|\x1e|\x1f|\x85")
 _SAFE = regex.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The rule by which byte-level vocabularies spell bytes: printable Latin-1 as it is, the rest from U+0100 on."""
+    kept = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
 _encoders: dict[str, Encoder] = {}
 
 
@@ -40,15 +52,10 @@ class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        level = ByteLevel(add_prefix_space=False, use_regex=False)
-        # the library's letter for each byte, asked of it character by character
-        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(128)}
-        self.level = level
         self.clear()
 
     def clear(self) -> None:
@@ -60,26 +67,30 @@ class Encoder:
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
 
-    def _piece(self, piece: str) -> list[int]:
-        got = self.pieces.get(piece)
-        if got is None:
-            byte = piece.translate(self.letters) if piece.isascii() else self.level.pre_tokenize_str(piece)[0][0]
-            got = self.pieces[piece] = [t.id for t in self.model.tokenize(byte)]
-        return got
+    def _merge(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(_LETTERS))]
 
     def _learn(self, words: list) -> None:
-        """Keys are words without their leading space, or (word,) for a text's first one."""
+        """Keys are words without their leading space: word, or (word, " ") if its ends may be odd; or (word,) for a text's first one."""
         flat: list[int] = []
         ends = [0]
+        merge = self.model.tokenize
         for key in words:
-            word, bare = (key[0], key[0]) if isinstance(key, tuple) else (" " + key, key)
+            bare = key if isinstance(key, str) else key[0]
+            word = bare if isinstance(key, tuple) and len(key) == 1 else " " + bare
             if bare.isalpha():
-                flat += self._piece(word)
+                if bare.isascii():
+                    flat += [t.id for t in merge("Ġ" + bare if word is not bare else bare)]
+                else:
+                    flat += self._merge(word)
             elif not _PLAIN.fullmatch(word):
                 flat += self.tokenizer.encode(word, add_special_tokens=False).ids
             else:
-                for piece in _PIECES.findall(word):
-                    flat += self._piece(piece)
+                for piece in (_ASCII_PIECES if word.isascii() else _PIECES).findall(word):
+                    got = self.pieces.get(piece)
+                    if got is None:
+                        got = self.pieces[piece] = self._merge(piece)
+                    flat += got
             ends.append(len(flat))
         first, n = len(self.known), len(words)
         while first + n > len(self.starts):
@@ -93,42 +104,57 @@ class Encoder:
         self.used += len(flat)
         self.known.update(zip(words, range(first, first + n), strict=True))
 
-    def _words(self, text: str) -> Iterator[list]:
-        """Lists of keys; see _learn()."""
+    def _codes(self, words: list) -> np.ndarray:
+        """Where the words are; words that are new are learnt."""
+        codes = list(map(self.known.get, words))
+        if None in codes:
+            if len(self.known) >= WORDS:
+                self.clear()
+                codes = [None] * len(words)
+            missing = [i for i, c in enumerate(codes) if c is None]
+            self._learn(list(dict.fromkeys([words[i] for i in missing])))
+            for i in missing:
+                codes[i] = self.known[words[i]]
+        return np.array(codes, np.int64)
+
+    def _split(self, part: str, first: bool) -> list:
+        """Keys of a part; see _learn(). Only words that were never learnt need a look at their ends."""
+        words = part.split(" ")
+        known = self.known
+        if any([not w or _ends_odd(w) for w in words if w not in known]):
+            # such words are kept under another kind of key, so that a plain word in known has plain ends
+            words = [(w,) if first and not k else (w, " ") for k, w in enumerate(_SAFE.split(part))]
+        elif first:
+            words[0] = (words[0],)
+        return words
+
+    def encode(self, text: str) -> np.ndarray:
+        """uint32 ids."""
+        out = []
         at = 0
         while at < len(text):
             end = len(text)
             if end - at > STEP:
                 cut = _SAFE.search(text, at + STEP)
                 end = cut.start() if cut else end
-            part = text[at:end]
-            if at:
-                part = part[1:]
-            words = part.split(" ") if not _ODD.search(part) else _SAFE.split(part)
-            if not at:
-                words[0] = (words[0],)
-            yield words
-            at = end
-
-    def encode(self, text: str) -> np.ndarray:
-        """uint32 ids."""
-        out = []
-        for words in self._words(text):
-            codes = list(map(self.known.get, words))
-            if None in codes:
-                if len(self.known) >= WORDS:
-                    self.clear()
-                    codes = [None] * len(words)
-                self._learn(list({w: 0 for w, c in zip(words, codes, strict=True) if c is None}))
-                codes = list(map(self.known.get, words))
-            codes = np.array(codes, np.int64)
+            codes = self._codes(self._split(text[at + 1 : end] if at else text[:end], not at))
             sizes = self.sizes[codes]
             ends = np.cumsum(sizes)
             take = np.arange(int(ends[-1])) + np.repeat(self.starts[codes] - ends + sizes, sizes)
             out.append(self.ids[take])
+            at = end
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+_ODD_ENDS = frozenset(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85")
+
+
+def _ends_odd(word: str) -> bool:
+    """Whether white space, by anyone's reading, is at an end of a word."""
+    a, b = word[0], word[-1]
+    return a in _ODD_ENDS or b in _ODD_ENDS or a.isspace() or b.isspace()
+
+
 def encoder(path: str | None = None) -> Encoder:
     """This worker's encoder of a file."""
     path = path or vocabulary_path()
