@@ -108,10 +108,13 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     depend on the order of the input; its size, ``sample`` x LANGUAGES sparse
     vectors of DIMS entries at most, doesn't grow with it.
     """
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id", unit.alias("h"))
     top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    # about 4 x sample rows of a language meet in one task, however many it has
+    few = rows.join(F.broadcast(top), "lang").where(F.col("h") * F.col("count") < 4 * sample)
     rank = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = rows.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= sample).join(F.broadcast(top.select("lang")), "lang", "left_semi")
+    chosen = few.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= sample)
     texts = labelled.where("text IS NOT NULL").join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi").select("lang", "text")
     got = texts.mapInArrow(_features, "lang string, at array<int>, n array<double>").collect()
     got = [g for g in got if len(g["at"])]
