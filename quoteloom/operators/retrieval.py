@@ -82,21 +82,24 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = PER_QUERY, digits: int =
     if len(got) > 100_000:
         raise ValueError("too many queries for one pass; split them into blocks")
     ids = [r["q"] for r in got]
+    names = np.array(ids)
     m = np.array([r["vec"] for r in got], np.float64).reshape(len(got), -1)
     m = m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1.0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf = pdf.dropna(subset=["vec"])
+            pdf = pdf.sort_values("doc")
             for at in range(0, len(pdf), BLOCK) if ids else ():
                 part = pdf.iloc[at : at + BLOCK]
                 x = np.stack(part["vec"].to_numpy()).astype(np.float64)
                 n = np.linalg.norm(x, axis=1, keepdims=True)
-                sim = np.round(np.clip(m @ (x / np.where(n > 0, n, 1.0)).T, -1, 1), digits)
+                x = (x / np.where(n > 0, n, 1.0)).T
                 docs = part["doc"].to_numpy()
-                for i, q in enumerate(ids):
-                    best = np.lexsort((docs, -sim[i]))[:k]
-                    yield pd.DataFrame({"q": q, "doc": docs[best], "sim": sim[i][best]})
+                for low in range(0, len(ids), BLOCK):
+                    sim = np.round(np.clip(m[low : low + BLOCK] @ x, -1, 1), digits)
+                    best = np.argsort(-sim, axis=1, kind="stable")[:, :k]  # docs ascend, so ties do
+                    yield pd.DataFrame({"q": np.repeat(names[low : low + BLOCK], best.shape[1]), "doc": docs[best].ravel(), "sim": np.take_along_axis(sim, best, 1).ravel()})
 
     hits = corpus.select("doc", "vec").mapInPandas(run, f"q {queries.schema['q'].dataType.simpleString()}, doc {corpus.schema['doc'].dataType.simpleString()}, sim double")
     return ranked(hits, "q", F.desc("sim"), F.asc("doc")).where(F.col("rank") <= k)

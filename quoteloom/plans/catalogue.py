@@ -751,9 +751,9 @@ def exact_code_match(spark, d):
     return X.exact_code(_asking(spark, d), _work(spark, d, "MBL"))
 
 
-def _answers(spark, d) -> DataFrame:
-    """A model's answer for every IFAS item, one object of JSON."""
-    e = _asking(spark, d).where("line % 2 = 1")
+def _answers(spark, d, answered=None) -> DataFrame:
+    """A model's answer for every foreign IFAS code (or those ``answered``), one object of JSON."""
+    e = _asking(spark, d).where("line % 2 = 1").where(F.lit(True) if answered is None else answered)
     one = F.to_json(F.struct(F.col("item_no").alias("itemNo"), F.struct((F.col("line") * 1.5).alias("unitCost"), F.lit("V").alias("vendor")).alias("best_match"), F.lit(0.8).alias("confidence"), (F.col("line") % 4 == 1).alias("matched")))
     return e.select(F.concat(F.lit('Here: {"matches": ['), one, F.lit("]}")).alias("answer"))
 
@@ -796,5 +796,5 @@ def audit_struct(spark, d):
 
 @query()
 def cross_match_e2e(spark, d):
-    out = X.match(_asking(spark, d), _work(spark, d, "MBL"), _answers(spark, d), T.token_score)
+    out = X.match(_asking(spark, d), _work(spark, d, "MBL"), _answers(spark, d, F.col("line") % 3 != 0), T.token_score)
     return out.select("line", "item_no", "matched", "provenance", "ref_item_no", "ref_unit_cost", "confidence", "compare_kind")

@@ -113,3 +113,25 @@ def test_index_follows_a_stream(spark, sf, tmp_path):
     for k in range(2):
         index_delta.follow(spark.readStream.schema(e.schema).parquet(src), index, str(tmp_path / f"c{k}")).awaitTermination()
         assert spark.read.parquet(index).count() == want
+
+
+def test_candidates_use_attributes_and_vectors(spark):
+    day = "2024-06-01"
+    work = frame(spark, [("A", "submersible pump motor 24 v", day, 1.0), ("B", "submersible pump 240 v", day, 2.0), ("C", "faucet chrome", day, 3.0), *[(f"Z{k}", f"tap{k} adapter part", day, 4.0) for k in range(60)]])
+    lines = spark.createDataFrame([(1, "submersible pump motor 240 v"), (2, "tap")], "line int, description string")
+    meaning = lambda t: F.array(*[t.rlike(p).cast("double") for p in ("faucet|tap$", "pump", "adapter")])
+    got = X.candidates(lines, work, embed=meaning).collect()
+    assert {r["item_no"] for r in got if r["line"] == 1} >= {"B"} and not any(r["line"] == 1 and r["item_no"] == "A" for r in got)
+    assert [r["item_no"] for r in got if r["line"] == 2 and r["rank"] == 1] == ["C"]
+    top = X.candidates(lines, work, 1, excluded=spark.createDataFrame([(1, "B")], "line int, item_key string"), embed=meaning).where("line = 1").collect()
+    assert [r["item_no"] for r in top] and top[0]["item_no"] != "B"
+
+
+def test_match_looks_through_all_work(spark):
+    work = frame(spark, [("A", "brass ball valve", "2024-01-01", 7.0), ("B", "rubber hose brown and a much longer text", "2024-01-01", 9.0), ("C", "zinc", "2024-01-01", 5.0)])
+    lines = spark.createDataFrame([(1, 0, "Q1", "brass ball valve big"), (2, 1, "Q2", "zinc")], "line int, pos int, item_no string, description string")
+    wrong = lambda q, t: F.length(t).cast("double")  # noqa: E731  # prefers B, which shares no word with the first line
+    answers = spark.createDataFrame([('{"matches": [{"item_no": "Q2", "reference_unit_cost": 9}]}',)], "answer string")
+    got = {r["line"]: r for r in X.match(lines, work, answers, T.token_score, 1, wrong).collect()}
+    assert (got[1]["provenance"], got[1]["ref_item_no"]) == ("lexical_fallback", "A")
+    assert (got[2]["provenance"], got[2]["ref_item_no"]) == ("ai_tagged", "C")  # not Q2, its own code
