@@ -38,10 +38,11 @@ def with_margin(rows: DataFrame) -> DataFrame:
     return rows.withColumn("top1", F.first("score").over(w)).withColumn("margin", F.round(F.coalesce(F.first("score").over(w) - second, F.lit(0.0)), 6))
 
 
-def hybrid(cands: DataFrame, n: int = TOP_N, weight: float = LEXICAL_WEIGHT) -> DataFrame:
-    """(line, doc, lex, cos, penalty, ord) -> weight * lex + (1 - weight) * max(0, cos) - penalty, the best n, with top1 and margin."""
+def hybrid(cands: DataFrame, n: int | None = TOP_N, weight: float = LEXICAL_WEIGHT) -> DataFrame:
+    """(line, doc, lex, cos, penalty, ord) -> weight * lex + (1 - weight) * max(0, cos) - penalty, the best n (all without one), with top1 and margin."""
     score = F.round(weight * F.coalesce("lex", F.lit(0.0)) + (1 - weight) * F.greatest(F.lit(0.0), F.coalesce("cos", F.lit(0.0))) - F.coalesce("penalty", F.lit(0.0)), 6)
-    return with_margin(ranked(cands.withColumn("score", score), "line", F.desc("score"), F.asc("ord"), F.asc("doc")).where(F.col("rank") <= n))
+    rows = ranked(cands.withColumn("score", score), "line", F.desc("score"), F.asc("ord"), F.asc("doc"))
+    return with_margin(rows if n is None else rows.where(F.col("rank") <= n))
 
 
 def skip_model(top1: Column, margin: Column, t: float = SKIP_TOP, m: float = SKIP_MARGIN) -> Column:
@@ -49,27 +50,37 @@ def skip_model(top1: Column, margin: Column, t: float = SKIP_TOP, m: float = SKI
     return (top1 >= t) & (margin >= m)
 
 
-def cross_encoder(cands: DataFrame, scorer: Scorer | None, n: int = TOP_N, abstain: float = ABSTAIN_BELOW) -> DataFrame:
-    """(line, query, doc, text, penalty, ord) by a pair scorer less the penalty; blank texts score 0; abstain flags a low top.
+def cross_encoder(cands: DataFrame, scorer: Scorer | None, n: int | None = TOP_N, abstain: float = ABSTAIN_BELOW) -> DataFrame:
+    """(line, query, doc, text, penalty, ord) by a pair scorer less the penalty, the best n (all without one); blank texts score 0; abstain flags a low top.
 
     Without a scorer the result is empty: the caller keeps its ranking.
     """
     raw = F.lit(None).cast("double") if scorer is None else F.when(T.canonical(F.col("text")) == "", 0.0).otherwise(scorer(F.col("query"), F.col("text")))
     rows = cands if scorer is not None else cands.where("false")
-    out = ranked(rows.withColumn("score", F.round(raw - F.coalesce("penalty", F.lit(0.0)), 6)), "line", F.desc("score"), F.asc("ord"), F.asc("doc")).where(F.col("rank") <= n)
+    out = ranked(rows.withColumn("score", F.round(raw - F.coalesce("penalty", F.lit(0.0)), 6)), "line", F.desc("score"), F.asc("ord"), F.asc("doc"))
+    out = out if n is None else out.where(F.col("rank") <= n)
     top = F.max("score").over(Window.partitionBy("line"))
     return out.withColumn("abstain", top < abstain)
 
 
-def rerank(cands: DataFrame, scorer: Scorer | None = None, n: int = TOP_N) -> DataFrame:
-    """hybrid(), then the pair scorer for the lines that it isn't sure of."""
-    first = hybrid(cands, n)
-    if scorer is None:
-        return first.select("line", "doc", "score", "rank", F.lit(False).alias("abstain"))
-    open_ = first.where(~skip_model(F.col("top1"), F.col("margin"))).select("line", "doc")
-    second = cross_encoder(cands.join(open_, ["line", "doc"], "left_semi"), scorer, n).select("line", "doc", "score", "rank", "abstain")
-    sure = first.where(skip_model(F.col("top1"), F.col("margin"))).select("line", "doc", "score", "rank", F.lit(False).alias("abstain"))
-    return sure.unionByName(second)
+def rerank(cands: DataFrame, scorer: Scorer | None = None, cap: int = TOP_N, excluded: DataFrame | None = None) -> DataFrame:
+    """hybrid(), but the pair scorer over all candidates of the lines that it isn't sure of; the best ``cap`` a line.
+
+    pool_size() candidates are ranked before the excluded items (line, item_key;
+    cands have item_key then) go and the cap cuts.
+    """
+    first = hybrid(cands, None).withColumn("abstain", F.lit(False))
+    if scorer is not None:
+        sure = skip_model(F.col("top1"), F.col("margin"))
+        open_ = first.where(~sure & (F.col("rank") == 1)).select("line")
+        second = cross_encoder(cands.join(open_, "line", "left_semi"), scorer, None)
+        keep = second.columns
+        first = first.where(sure).select(*keep).unionByName(second)
+    n = F.count("*").over(Window.partitionBy("line"))
+    pool = first.withColumn("_n", n).where(F.col("rank") <= pool_size(F.col("_n"), cap, excluded is not None))
+    if excluded is not None:
+        pool = exclude(pool, excluded, cap)
+    return pool.where(F.col("rank") <= cap).select("line", "doc", "score", "rank", "abstain")
 
 
 def exclude(rows: DataFrame, excluded: DataFrame, cap: int) -> DataFrame:

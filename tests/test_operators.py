@@ -135,3 +135,16 @@ def test_match_looks_through_all_work(spark):
     got = {r["line"]: r for r in X.match(lines, work, answers, T.token_score, 1, wrong).collect()}
     assert (got[1]["provenance"], got[1]["ref_item_no"]) == ("lexical_fallback", "A")
     assert (got[2]["provenance"], got[2]["ref_item_no"]) == ("ai_tagged", "C")  # not Q2, its own code
+
+
+def test_rerank_scores_all_candidates(spark):
+    rows = [(1, "q", k, "x" * (100 - k if k < 60 else 500), 0.5 - k / 1000, 0.5, 0.0, k, str(k % 60)) for k in range(80)]
+    rows += [(2, "q", k, "x" * k, 1.0 if k == 1 else 0.1, 1.0 if k == 1 else 0.1, 0.0, k, str(k)) for k in range(1, 30)]
+    c = spark.createDataFrame(rows, "line int, query string, doc int, text string, lex double, cos double, penalty double, ord int, item_key string")
+    size = lambda q, t: F.length(t).cast("double")
+    got = R.rerank(c, size, 3).orderBy("line", "rank").collect()
+    assert [r["doc"] for r in got if r["line"] == 1] == [60, 61, 62]  # hybrid ranks 61 to 63
+    assert [r["doc"] for r in got if r["line"] == 2] == [1, 2, 3]  # sure: the scorer isn't asked
+    first = spark.createDataFrame([(1, str(k)) for k in range(20)], "line int, item_key string")
+    assert [r["doc"] for r in R.rerank(c, size, 3, first).where("line = 1").orderBy("rank").collect()] == [20, 21, 22]
+    assert [r["doc"] for r in R.rerank(c, None, 3, first).where("line = 1").orderBy("rank").collect()] == [20, 21, 22]
