@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +15,10 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]{14,}", 0, 18),
     "hex": (r"[0-9a-f]{16,}", 0, 16),
 }
-#: Further candidates: long mixed strings. They become spans of kind ``owned`` if one owner has them alone.
+#: Further candidates: long mixed strings. They become spans of kind ``owned`` unless they are copied examples.
 OPEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-#: A candidate of so many owners or more is a copied example.
-SHARED = 3
+#: A candidate of so many owners, or of so many repositories, or more is a copied example.
+SHARED, WIDE = 3, 10
 
 
 def _spans(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
@@ -43,53 +45,61 @@ def _spans(text: Column, pattern: str, group: int, least: int, kind: int) -> Col
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(kind_of))
 
 
-def _joined(spans: Column) -> Column:
+def _joined(spans: Column, more: Callable[[Column], list[Column]] = lambda s: []) -> Column:
     names = F.array(*[F.lit(k) for k in [*BASE, "owned"]])
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start.cast("string"), s.end.cast("string"))), ",")
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start.cast("string"), s.end.cast("string"), *more(s))), ",")
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", shared: int = SHARED) -> DataFrame:
-    """One row a row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, live_spans, n_example, n_live.
+def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", shared: int = SHARED, wide: int = WIDE) -> DataFrame:
+    """One row a row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, live_spans, n_example, n_few, n_live, verdicts.
 
     Candidates are the base spans and other long strings that mix letters and
     digits. The hash of each candidate's value is aggregated over the corpus by
-    distinct owners and repositories. A value of ``shared`` owners or more is a
-    copied example, one of a single owner is live-looking. Base spans stay
+    distinct owners and repositories. All copies of a text count as the smallest
+    of their repositories, so that they count once. A value of ``shared`` owners
+    or ``wide`` repositories or more is a copied example; of the others, one of a
+    single owner is live-looking and one of several is ``few``. Base spans stay
     whatever they are; a further candidate that overlaps none of them becomes a
-    span of kind ``owned`` if it is live-looking. live_spans are the live-looking
-    ones of all. Null texts are empty, a null owner is an owner of its own, and
-    repeated rows count once per owner. A row is told by doc_id, text and owner.
-    Columns other than doc_id, text, owner and repository aren't read.
+    span of kind ``owned`` unless it is an example. live_spans are the
+    live-looking ones of all. verdicts has kind, start, end, verdict, owners and
+    repositories of every candidate. Null texts are empty, a null owner is an
+    owner of its own, and repeated rows count once per owner. A row is told by
+    doc_id, text and owner. Columns other than doc_id, text, owner and repository
+    aren't read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = [_spans(F.col("text"), p, g, n, k) for k, (p, g, n) in enumerate(BASE.values())]
     rows = docs.select("doc_id", text.alias("text"), F.coalesce(F.col(owner).cast("string"), F.lit("\u0000")).alias("owner"), F.col(repository).cast("string").alias("repo"))
-    base = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repo", *[p.alias(k) for p, k in zip(parts, BASE, strict=True)], _spans(F.col("text"), OPEN, 0, 20, len(BASE)).alias("open"))
+    base = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repo", F.xxhash64(F.sha2("text", 256)).alias("copy"), *[p.alias(k) for p, k in zip(parts, BASE, strict=True)], _spans(F.col("text"), OPEN, 0, 20, len(BASE)).alias("open"))
     base = base.withColumn("base", F.array_sort(F.concat(*BASE)))
     mixed = lambda s: s.value.rlike("[0-9]") & s.value.rlike("[a-z]") & s.value.rlike("[A-Z]")
     free = lambda s: ~F.exists("base", lambda b: (b.start < s.end) & (s.start < b.end))
     base = base.withColumn("open", F.filter("open", lambda s: mixed(s) & free(s)))
     slim = lambda c: F.transform(c, lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end"), F.sha2(s.value, 256).alias("hash")))
-    found = stored(base.select("row", "doc_id", "owner", "repo", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], _joined(F.col("base")).alias("base_text"), slim(F.concat("base", "open")).alias("found")))
-    each = found.select("row", "owner", "repo", F.explode("found").alias("s")).select("row", "owner", "repo", "s.*")
+    found = stored(base.select("row", "doc_id", "owner", "repo", "copy", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], _joined(F.col("base")).alias("base_text"), slim(F.concat("base", "open")).alias("found")))
+    each = found.select("row", "owner", "repo", "copy", F.explode("found").alias("s")).select("row", "owner", "repo", "copy", "s.*")
     owners = each.select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
-    repos = each.select("hash", "owner", "repo").distinct().groupBy("hash").agg(F.count("*").alias("repos"))
+    texts = each.groupBy("hash", "copy").agg(F.min("repo").alias("repo"))
+    repos = texts.select("hash", "repo").distinct().groupBy("hash").agg(F.count("*").alias("repos"))
     known = stored(owners.join(repos, "hash"))
     told = salted_lookup(each, known, "hash", "row", "inner")
     lists = told.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end", "owners", "repos")).alias("told"))
     out = found.drop("found").join(lists, "row", "left")
     told = F.coalesce("told", F.array().cast("array<struct<start:int,kind:int,end:int,owners:bigint,repos:bigint>>"))
     out = out.withColumn("told", F.array_sort(told))
-    live = lambda s: s.owners == 1
-    spans = F.filter("told", lambda s: (s.kind < len(BASE)) | live(s))
+    example = lambda s: (s.owners >= shared) | (s.repos >= wide)
+    live = lambda s: ~example(s) & (s.owners == 1)
+    few = lambda s: ~example(s) & (s.owners > 1)
+    spans = F.filter("told", lambda s: (s.kind < len(BASE)) | ~example(s))
+    verdict = lambda s: F.when(example(s), "example").when(live(s), "live").otherwise("few")
     return out.select(
         "doc_id",
         *[f"n_{k}" for k in BASE],
         F.sha2(F.col("base_text"), 256).alias("base_sha256"),
         _joined(spans).alias("spans"),
         _joined(F.filter("told", live)).alias("live_spans"),
-        F.size(F.filter("told", lambda s: s.owners >= shared)).cast("long").alias("n_example"),
-        F.size(F.filter("told", live)).cast("long").alias("n_live"),
+        *[F.size(F.filter("told", f)).cast("long").alias(f"n_{k}") for k, f in (("example", example), ("few", few), ("live", live))],
+        _joined(F.col("told"), lambda s: [verdict(s), s.owners.cast("string"), s.repos.cast("string")]).alias("verdicts"),
     )
 
 

@@ -316,3 +316,14 @@ def test_pipeline(spark, sf, empty):
         out = stage(spark, d, sf)
         assert out.columns == d.columns and out.count() > 0, name
     assert {"doc_id", "sequence_id", "offset"} <= set(p.run(spark, sf).columns)
+
+
+def test_secret_repositories(spark):
+    wide, copied, two = "Qw7" + "eR5" * 8, "Zx9" + "aB3" * 8, "Lm4" + "pQ6" * 8
+    rows = [(i, f"n{i} {wide}", "a") for i in range(12)] + [(100 + i, f"key {copied}", "a") for i in range(12)] + [(200, f"x {two}", "a"), (201, f"x {two}", "b")]
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert (got[3]["spans"], got[3]["live_spans"], got[3]["n_example"]) == ("", "", 1)  # one owner, but in many texts
+    assert got[3]["verdicts"] == "owned:3:30:example:1:12"
+    assert (got[105]["n_live"], got[105]["verdicts"]) == (1, "owned:4:31:live:1:1")  # copies of one text count once
+    assert (got[200]["spans"], got[200]["live_spans"], got[200]["n_few"]) == ("owned:2:29", "", 1)
+    assert got[201]["verdicts"] == "owned:2:29:few:2:1"
