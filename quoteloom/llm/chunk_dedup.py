@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import documents, salted_lookup
+from .common import documents, row_struct, salted_lookup, stored
 from .textkit import _TABLE
 
 #: Mean bytes between the cuts that content defines, and the most and least bytes of a chunk.
@@ -90,24 +90,30 @@ def _chunk_rows(bits: int):
     return run
 
 
-def _grouped(rows: DataFrame, bits: int) -> DataFrame:
-    """rows (row, doc_id, text, more) -> the same with keep_id, group_size and kept."""
-    names = rows.columns
-    recipes = rows.mapInArrow(_recipes(bits, names), StructType([*rows.schema.fields, StructField("recipe", ArrayType(LongType()))]))
+def _key() -> Column:
+    """What tells a row from others, the same in any reading: doc_id and the text's hash."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+
+
+def _grouped(docs: DataFrame, bits: int) -> DataFrame:
+    """doc_id, key, keep_id, group_size, kept of each row of docs (doc_id, text)."""
+    rows = docs.select(_key().alias("key"), "doc_id", "text")
+    recipes = rows.mapInArrow(_recipes(bits, rows.columns), StructType([*rows.schema.fields, StructField("recipe", ArrayType(LongType()))]))
     known = rows.select("text").mapInArrow(_chunk_rows(bits), "h long, chunk binary").distinct()
-    clashes = known.groupBy("h").count().where("count > 1").select("h")
+    clashes = stored(known.groupBy("h").count().where("count > 1").select("h"))
     exact = F.lit(None).cast("string")
     if clashes.limit(1).count():
-        hit = recipes.select("row", F.explode("recipe").alias("h")).distinct().join(clashes, "h", "left_semi").select("row", F.lit(True).alias("clash")).distinct()
-        recipes = recipes.join(hit, "row", "left")
+        hit = recipes.select("key", F.explode("recipe").alias("h")).distinct().join(clashes, "h", "left_semi").select("key", F.lit(True).alias("clash")).distinct()
+        recipes = recipes.join(hit, "key", "left")
         exact = F.when(F.col("clash"), F.coalesce("text", F.lit("")))
-    recipes = recipes.withColumn("key", F.struct("recipe", exact.alias("exact"))).drop("recipe", "clash")
+    # stored with the rows' numbers, so that a row's number stays what it is
+    slim = stored(recipes.select(F.monotonically_increasing_id().alias("row"), "key", "doc_id", F.struct("recipe", exact.alias("exact")).alias("content")))
     best = F.max(F.struct("doc_id", "row")).alias("best")
-    groups = recipes.groupBy("key").agg(best, F.count("*").alias("group_size")).where("group_size > 1").select("key", F.col("best.doc_id").alias("keep_id"), "group_size", F.col("best.row").alias("keep_row"))
-    out = salted_lookup(recipes, groups, "key", "row")
+    groups = slim.groupBy("content").agg(best, F.count("*").alias("group_size")).where("group_size > 1").select("content", F.col("best.doc_id").alias("keep_id"), "group_size", F.col("best.row").alias("keep_row"))
+    out = salted_lookup(slim, groups, "content", "row")
     alone = F.col("group_size").isNull()
     kept = F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True))
-    return out.withColumn("keep_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1)).cast("long")).withColumn("kept", kept).select(*names, "keep_id", "group_size", "kept")
+    return out.select("doc_id", "key", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"))
 
 
 def dedup(docs: DataFrame, bits: int = 64) -> DataFrame:
@@ -119,20 +125,25 @@ def dedup(docs: DataFrame, bits: int = 64) -> DataFrame:
     identifier that stood for two contents would be replaced by the text itself
     for the documents that hold it. Null counts as empty. The row with the
     largest doc_id stays; of repeated rows with that very doc_id one is kept,
-    and a null doc_id is the smallest. Other columns aren't read; an empty table
-    gives an empty result.
+    and a null doc_id is the smallest. Whole texts count, however long. Other
+    columns aren't read; an empty table gives an empty result.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    rows = rows.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    return _grouped(rows, bits).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return _grouped(docs, bits).select("doc_id", "keep_id", "group_size", "kept", F.substring_index("key", ":", -1).alias("text_sha256"))
 
 
 def keep_rows(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """The rows that dedup() keeps, with all columns of docs."""
-    more = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.struct(F.lit(0).alias("_"), *more).alias("more"))
-    kept = _grouped(rows, bits).where("kept")
-    return kept.select(*[F.col(f"more.`{c}`").alias(c) if c in more else F.col(c) for c in docs.columns])
+    """The rows that dedup() keeps, with all columns of docs, of any name.
+
+    Of rows that agree in doc_id and text one stays, whichever: they differ in
+    other columns at most.
+    """
+    fate = stored(_grouped(docs, bits).groupBy("key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"))
+    rows = docs.select(_key().alias("key"), row_struct(docs).alias("_row")).join(fate.where("not kept").select("key").hint("merge"), "key", "left_anti")
+    again = fate.where("kept and n > 1").select("key").hint("merge")
+    if again.limit(1).count():
+        once = rows.join(again, "key", "left_semi").groupBy("key").agg(F.first("_row").alias("_row"))
+        rows = rows.join(again, "key", "left_anti").unionByName(once)
+    return rows.select("_row.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

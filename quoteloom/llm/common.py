@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Java's spelling of the word pattern ``[^\x20\x09-\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,7 +38,30 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the folders of stored() frames that only other stored() frames were made from."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:
+    """Rows with their number from 0 in an order, by range partitions and their offsets: no task sees more than a range."""
+    parts = stored(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    offsets = parts.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return parts.withColumn("_part", part).join(offsets, "_part").withColumn(name, F.col("_offset") + place).select(*df.columns, name)
+
+
+def row_struct(df: DataFrame) -> Column:
+    """All columns of a frame, of any name, as one struct: its fields can't clash with columns that are added."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
 
 def salted_lookup(rows: DataFrame, table: DataFrame, key: str, spread: str | Column, how: str = "left") -> DataFrame:
@@ -75,5 +99,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = salted_lookup(large, low, "a", "b", "inner")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = stored(small.distinct())
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select("b", "b").distinct().toDF("node", "component"))
+        last, edges = edges, stored(small.distinct())
+        release(last)
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select("b", "b").distinct().toDF("node", "component"))
+    out._stored_at = edges._stored_at
+    return out

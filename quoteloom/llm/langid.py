@@ -10,9 +10,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import documents
+from .common import documents, release, row_struct, stored
 
 #: Hashed dimensions of the n-gram vectors.
 DIMS = 1 << 12
@@ -22,8 +23,8 @@ ORDERS = (1, 2, 3)
 CENTROIDS = 4
 #: Labelled documents a language that the centroids are fitted on, at most. The bound of the model's sample.
 SAMPLE = 500
-#: Languages with the most rows that get centroids, at most: bounds the model.
-LANGUAGES = 100
+#: Languages that a model may have; more raise an error, so none is left out unseen. Bounds the model at 64 KB a language.
+LANGUAGES = 10_000
 #: A document whose best cosine is below this share of the lowest one seen in its language's sample is rejected.
 SLACK = 0.5
 
@@ -52,7 +53,7 @@ def counts(text: str) -> np.ndarray:
 def vector(text: str, idf: np.ndarray) -> np.ndarray:
     """Unit TF-IDF vector with sublinear term frequencies."""
     v = np.log1p(counts(text)) * idf
-    return v / (np.linalg.norm(v) or 1.0)
+    return (v / (np.linalg.norm(v) or 1.0)).astype(np.float32)
 
 
 @dataclass
@@ -95,48 +96,57 @@ def _clusters(x: np.ndarray, k: int) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+        for lang, h, text in zip(b.column("lang").to_pylist(), b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
             c = counts(text)
             at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_pydict({"lang": [lang], "at": pa.array([at.tolist()], pa.list_(pa.int32())), "n": pa.array([c[at].tolist()], pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict({"lang": [lang], "h": pa.array([h], pa.int64()), "at": pa.array([at.tolist()], pa.list_(pa.int32())), "n": pa.array([c[at].tolist()], pa.list_(pa.float64()))})
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
-    """Fits centroids on at most ``sample`` rows of each lang of (doc_id, text, lang).
+def _centroids(idf: np.ndarray, k: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("h")
+        x = np.zeros((table.num_rows, DIMS), np.float32)
+        for i, (at, n) in enumerate(zip(table.column("at").to_pylist(), table.column("n").to_pylist(), strict=True)):
+            x[i, at] = n
+        x = np.log1p(x) * idf.astype(np.float32)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        c = _clusters(x, k).astype(np.float32)
+        floor = SLACK * float((x @ c.T).max(1).min())
+        return pa.table({"lang": [table.column("lang")[0].as_py()] * len(c), "k": pa.array(range(len(c)), pa.int32()), "c": pa.array(c.tolist(), pa.list_(pa.float32())), "floor": [floor] * len(c)})
 
-    The rows with the lowest hash of doc_id are taken, so the sample doesn't
-    depend on the order of the input; its size, ``sample`` x LANGUAGES sparse
-    vectors of DIMS entries at most, doesn't grow with it.
+    return run
+
+
+def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, languages: int = LANGUAGES) -> Model:
+    """Fits centroids on at most ``sample`` distinct rows of each lang of (doc_id, text, lang).
+
+    The rows with the lowest hashes of doc_id and text are taken, so the sample
+    doesn't depend on the order of the input; its size doesn't grow with it. Each
+    language's vectors meet in one task, ``sample`` of DIMS entries; the driver
+    sees the centroids and the document frequencies of the dimensions. More than
+    ``languages`` languages raise ValueError.
     """
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id", unit.alias("h"))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    sizes = stored(rows.groupBy("lang").agg(F.count("*").alias("rows")))
+    if sizes.count() > languages:
+        raise ValueError(f"more than {languages} languages")
+    unit = F.col("h") / F.lit(float(1 << 64)) + 0.5
     # about 4 x sample rows of a language meet in one task, however many it has
-    few = rows.join(F.broadcast(top), "lang").where(F.col("h") * F.col("count") < 4 * sample)
-    rank = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = few.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= sample)
-    texts = labelled.where("text IS NOT NULL").join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi").select("lang", "text")
-    got = texts.mapInArrow(_features, "lang string, at array<int>, n array<double>").collect()
-    got = [g for g in got if len(g["at"])]
-    names = sorted({g["lang"] for g in got})
-    if not names:
-        return Model([], np.zeros(0, int), np.zeros((0, DIMS)), np.ones(DIMS), np.zeros(0))
-    x = np.zeros((len(got), DIMS), np.float32)
-    for i, g in enumerate(got):
-        x[i, g["at"]] = g["n"]
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1.0
-    x = np.log1p(x) * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    lang = np.array([g["lang"] for g in got])
-    owner, rows_, floor = [], [], []
-    for k, name in enumerate(names):
-        own = x[lang == name]
-        own = own[np.lexsort(own[:, :64].T)]
-        c = _clusters(own, centroids)
-        owner += [k] * len(c)
-        rows_.append(c)
-        floor.append(SLACK * float((own @ c.T).max(1).min()))
-    return Model(names, np.array(owner), np.concatenate(rows_).astype(np.float64), idf, np.array(floor))
+    few = rows.select("lang", "h").join(F.broadcast(sizes), "lang").where(unit * F.col("rows") < 4 * sample).select("lang", "h").distinct()
+    chosen = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample)
+    cuts = chosen.groupBy("lang").agg(F.max("h").alias("cut"))
+    texts = rows.join(F.broadcast(cuts), "lang").where("h <= cut").select("lang", "h", "text").dropDuplicates(["lang", "h"])
+    got = stored(texts.mapInArrow(_features, "lang string, h long, at array<int>, n array<double>"))
+    seen = {r["at"]: r["count"] for r in got.select(F.explode("at").alias("at")).groupBy("at").count().collect()}
+    df = np.array([seen.get(i, 0) for i in range(DIMS)], float)
+    idf = np.log((1 + got.count()) / (1 + df)) + 1.0
+    found = got.groupBy("lang").applyInArrow(_centroids(idf, centroids), "lang string, k int, c array<float>, floor double").collect()
+    found.sort(key=lambda r: (r["lang"], r["k"]))
+    release(sizes, got)
+    names = sorted({r["lang"] for r in found})
+    owner = np.array([names.index(r["lang"]) for r in found], int)
+    floor = np.array([next(r["floor"] for r in found if r["lang"] == n) for n in names])
+    return Model(names, owner, np.array([r["c"] for r in found], np.float32).reshape(-1, DIMS), idf, floor)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -159,16 +169,22 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that identify() doesn't reject, with all their columns; a null lang becomes the predicted one."""
+    """The rows of docs that identify() doesn't reject, with all their columns, of any name; a null lang becomes the predicted one.
+
+    Null texts and texts without a letter go. An empty table gives an empty
+    result.
+    """
 
     def run(batches):
         for b in batches:
-            got = [model.predict(t.as_py()) for t in b.column("text")]
-            langs = [old if old is not None else new[0] for old, new in zip(b.column("lang").to_pylist(), got, strict=True)]
-            b = b.set_column(b.schema.get_field_index("lang"), b.schema.field("lang"), pa.array(langs, b.schema.field("lang").type))
+            got = [model.predict(t.as_py()) for t in b.column("_text")]
+            b = pa.RecordBatch.from_arrays([b.column("_row"), pa.array([g[0] for g in got], pa.string())], ["_row", "_lang"])
             yield b.filter(pa.array([not g[2] for g in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    kind = StructType([StructField("_row", docs.schema), StructField("_lang", StringType())])
+    kept = docs.select(row_struct(docs).alias("_row"), F.col("text").alias("_text")).mapInArrow(run, kind)
+    row = F.col("_row")
+    return kept.select(*[(F.coalesce(row.getField(c), F.col("_lang").cast(docs.schema[c].dataType)) if c == "lang" else row.getField(c)).alias(c) for c in docs.columns])
 
 
 def held_out() -> F.Column:

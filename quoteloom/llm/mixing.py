@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import WORD, documents, salted_lookup, stored
+from .common import WORD, documents, numbered, row_struct, salted_lookup, stored
 
 #: Rows that one node of the reduction tree combines, on average.
 FAN_IN = 256
@@ -15,78 +14,85 @@ MAX_COPIES = 3
 SEED = 20240229
 
 
-def source_targets(sources: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = MAX_COPIES) -> DataFrame:
+def source_targets(sources: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: int = MAX_COPIES) -> DataFrame:
     """Water-filling: (source, source_size, nodes) -> the same with target.
 
     Sources in code-point order, null last, weigh ``weights`` in turn and share
     all words; a target stops at ``cap`` times its source's size and the excess
     is shared again by weight. The fixed point is target = min(cap * size,
-    level * weight), whose level follows from one running sum over the sources
-    ordered by cap * size / weight. One row a source: the windows see the list
-    of sources, never documents.
+    level * weight): each round sums what the full sources hold and shares the
+    rest among the others, until no further one is full. Sources may be many
+    (web hosts): they are numbered without a single task, and a round brings
+    three sums to the driver.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
     ws = F.array(*[F.lit(float(w)) for w in weights])
-    s = sources.withColumn("w", F.element_at(ws, (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")))
-    s = s.withColumn("room", F.col("source_size") * F.lit(float(cap)))
-    every = Window.partitionBy()
-    filled = Window.orderBy(F.col("room") / F.col("w"), F.col("source").asc_nulls_last())
-    before = filled.rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("total", F.sum("source_size").over(every).cast("double"))
-    s = s.withColumn("left_words", F.col("total") - F.coalesce(F.sum("room").over(before), F.lit(0.0)))
-    s = s.withColumn("left_weight", F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    s = s.withColumn("level", F.col("left_words") / F.col("left_weight"))
-    # the first source whose room isn't reached sets the level of all after it
-    s = s.withColumn("open", F.col("room") / F.col("w") > F.col("level"))
-    s = s.withColumn("final", F.first(F.when(F.col("open"), F.col("level")), ignorenulls=True).over(filled.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return s.select("source", "source_size", "nodes", F.when(F.col("final").isNull(), F.col("room")).otherwise(F.least("room", F.col("final") * F.col("w"))).alias("target"))
-
-
-#: One leaf of the tree. All its documents share one probability p; the largest is
-#: paired with the pool of the others, which goes on with a common p.
-_LEAF = """
+    s = numbered(sources, F.col("source").asc_nulls_last(), "number").withColumn("w", F.element_at(ws, (F.pmod(F.col("number"), F.lit(len(weights))) + 1).cast("int"))).drop("number")
+    s = s.withColumn("room", F.col("source_size") * F.lit(cap))
+    total = s.agg(F.sum("source_size")).first()[0] or 0
+    level, full = None, -1
+    while True:
+        is_full = F.lit(False) if level is None else F.col("room") <= F.col("w") * F.lit(level)
+        n, held, open_ = s.agg(F.count(F.when(is_full, 1)), F.sum(F.when(is_full, F.col("room"))), F.sum(F.when(~is_full, F.col("w")))).first()
+        if n == full or not open_:
+            break
+        full, level = n, (total - (held or 0)) / open_
+    target = F.col("room").cast("double") if level is None else F.least(F.col("room").cast("double"), F.col("w") * F.lit(level))
+    return s.select("source", "source_size", "nodes", target.alias("target"))
+
+
+#: One node of the tree. Its items come with the largest first; s is the one that is still fractional
+#: and meets x. Words move between them until one is 0 or 1: hi is s's probability if x gives all it
+#: can, lo if it takes all it can. rest and cap are the words that the items after x hold and could
+#: hold; slack tells of each outcome whether what then is fractional can still get to 1 or to 0 with
+#: them. If both can, chance decides; if one, it is taken, so that no long document is left over; if
+#: none, chance decides but at the root, where the one that comes nearer is taken.
+def _let(name: str, value: str, body: str) -> str:
+    """SQL has no let: an array of one value."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _outcome(v: str) -> str:
+    """What remains fractional if s gets the probability v: s itself, or x if v is 0 or 1."""
+    whole = f"({v} <= 1e-9 OR {v} >= 1 - 1e-9)"
+    y = f"least(1D, greatest(0D, (m.mass - {v} * s.size) / x.size))"
+    left = f"named_struct('v', {v}, 'y', {y}, 'whole', {whole}, 'size', IF({whole}, x.size, s.size), 'p', IF({whole}, {y}, {v}))"
+    slack = "IF(o.p <= 1e-9 OR o.p >= 1 - 1e-9, 0D, greatest(o.p * o.size + m.rest - o.size, m.cap - o.p * o.size))"
+    return _let("o", left, f"named_struct('o', o, 'slack', {slack})")
+
+
+_CHOICE = """CASE
+  WHEN a.o.v - b.o.v <= 1e-12 THEN a.o
+  WHEN (a.slack >= -1e-6) <> (b.slack >= -1e-6) THEN IF(a.slack >= -1e-6, a.o, b.o)
+  WHEN a.slack < -1e-6 AND nodes <= 1 THEN IF(a.slack >= b.slack, a.o, b.o)
+  WHEN m.u < (s.p - b.o.v) / (a.o.v - b.o.v) THEN a.o
+  ELSE b.o END"""
+_NEXT = """named_struct(
+  'done', array_append(s.done, IF(c.whole, named_struct('row', s.row, 'copy', cast(round(c.v) as int), 'size', s.size), named_struct('row', x.row, 'copy', cast(round(c.y) as int), 'size', x.size))),
+  'row', IF(c.whole, x.row, s.row), 'id', IF(c.whole, x.id, s.id), 'size', c.size, 'p', c.p, 'rest', m.rest, 'cap', m.cap)"""
+_MEET = _let("a", _outcome("least(1D, m.mass / s.size)"), _let("b", _outcome("greatest(0D, (m.mass - x.size) / s.size)"), _let("c", _CHOICE, _NEXT)))
+_PIVOT = f"""
 aggregate(
   reverse(array_sort(items)),
-  named_struct('done', cast(array() as array<struct<row:bigint,copy:int>>), 'row', cast(null as bigint), 'id', cast(null as bigint), 'size', 0L, 'p', items[0].p,
-    'rest', aggregate(items, 0L, (t, x) -> t + x.size), 'all', cast(null as int)),
+  named_struct('done', cast(array() as array<struct<row:bigint,copy:int,size:bigint>>), 'row', cast(null as bigint), 'id', cast(null as bigint), 'size', 0L, 'p', 0D,
+    'rest', aggregate(items, 0D, (t, x) -> t + x.p * x.size), 'cap', aggregate(items, 0L, (t, x) -> t + x.size)),
   (s, x) -> CASE
-    WHEN s.all IS NOT NULL THEN named_struct('done', array_append(s.done, named_struct('row', x.row, 'copy', s.all)), 'row', s.row, 'id', s.id, 'size', s.size, 'p', s.p, 'rest', s.rest - x.size, 'all', s.all)
-    WHEN s.rest <= x.size THEN named_struct('done', s.done, 'row', x.row, 'id', x.id, 'size', x.size, 'p', s.p, 'rest', 0L, 'all', s.all)
-    ELSE transform(array(named_struct(
-           'hi', least(1D, s.p * s.rest / x.size), 'lo', greatest(0D, (s.p * s.rest - (s.rest - x.size)) / x.size),
-           'u', pmod(xxhash64(x.id, x.size, {level}, {seed}), 9007199254740992) / 9007199254740992D)),
-         r -> transform(array(CASE WHEN r.hi - r.lo <= 1e-12 THEN r.hi WHEN r.u < (s.p - r.lo) / (r.hi - r.lo) THEN r.hi ELSE r.lo END),
-         v -> transform(array(least(1D, greatest(0D, (s.p * s.rest - v * x.size) / (s.rest - x.size)))),
-         q -> CASE
-           WHEN v <= 1e-9 OR v >= 1 - 1e-9
-             THEN named_struct('done', array_append(s.done, named_struct('row', x.row, 'copy', cast(round(v) as int))), 'row', s.row, 'id', s.id, 'size', s.size, 'p', q, 'rest', s.rest - x.size, 'all', s.all)
-           ELSE named_struct('done', s.done, 'row', x.row, 'id', x.id, 'size', x.size, 'p', v, 'rest', s.rest - x.size, 'all', cast(round(q) as int))
-         END)[0])[0])[0]
+    WHEN s.row IS NULL THEN named_struct('done', s.done, 'row', x.row, 'id', x.id, 'size', x.size, 'p', x.p, 'rest', s.rest - x.p * x.size, 'cap', s.cap - x.size)
+    ELSE {_let("m", "named_struct('mass', s.p * s.size + x.p * x.size, 'rest', s.rest - x.p * x.size, 'cap', s.cap - x.size, 'u', pmod(xxhash64(s.id, s.size, x.id, x.size, {level}, {seed}), 9007199254740992) / 9007199254740992D)", _MEET)}
   END)
 """
 
-#: An inner node: its residuals have probabilities of their own and meet in pairs.
-_PIVOT = """
-aggregate(
-  reverse(array_sort(items)),
-  named_struct('done', cast(array() as array<struct<row:bigint,copy:int>>), 'row', cast(null as bigint), 'id', cast(null as bigint), 'size', 0L, 'p', 0D),
-  (s, x) -> CASE
-    WHEN s.row IS NULL THEN named_struct('done', s.done, 'row', x.row, 'id', x.id, 'size', x.size, 'p', x.p)
-    ELSE transform(array(named_struct(
-           'mass', s.p * s.size + x.p * x.size,
-           'u', pmod(xxhash64(s.id, s.size, x.id, x.size, {level}, {seed}), 9007199254740992) / 9007199254740992D)),
-         m -> transform(array(named_struct(
-           -- the most and the least that s can hold while x stays within 0..1
-           'hi', least(1D, m.mass / s.size), 'lo', greatest(0D, (m.mass - x.size) / s.size))),
-         r -> transform(array(CASE WHEN r.hi - r.lo <= 1e-12 THEN r.hi WHEN m.u < (s.p - r.lo) / (r.hi - r.lo) THEN r.hi ELSE r.lo END),
-         v -> transform(array(least(1D, greatest(0D, (m.mass - v * s.size) / x.size))),
-         y -> CASE
-           WHEN v <= 1e-9 OR v >= 1 - 1e-9
-             THEN named_struct('done', array_append(s.done, named_struct('row', s.row, 'copy', cast(round(v) as int))), 'row', x.row, 'id', x.id, 'size', x.size, 'p', y)
-           ELSE named_struct('done', array_append(s.done, named_struct('row', x.row, 'copy', cast(round(y) as int))), 'row', s.row, 'id', s.id, 'size', s.size, 'p', v)
-         END)[0])[0])[0])[0]
-  END)
-"""
+
+#: What a root does last: the document that is still fractional goes to the nearer end, and single
+#: copies are flipped as long as that brings the source's words nearer to its target.
+_FLIPS = 8
+_BEST = "array_min(transform(t.d, (z, i) -> named_struct('e', abs(t.err + IF(z.copy = 1, -z.size, z.size)), 'i', i)))"
+_FLIP = """IF(b.e < abs(t.err) - 1e-6, named_struct(
+  'd', transform(t.d, (z, i) -> IF(i = b.i, named_struct('row', z.row, 'copy', 1 - z.copy, 'size', z.size), z)),
+  'err', t.err + IF(t.d[b.i].copy = 1, -t.d[b.i].size, t.d[b.i].size)), t)"""
+_SETTLE = f"""IF(nodes > 1, s.done, aggregate(
+  sequence(1, {_FLIPS}),
+  named_struct('d', array_append(s.done, named_struct('row', s.row, 'copy', IF(s.p >= 0.5, 1, 0), 'size', s.size)), 'err', IF(s.p >= 0.5, 1 - s.p, -s.p) * s.size),
+  (t, k) -> {_let("b", _BEST, _FLIP)}, t -> t.d))"""
 
 
 def pivotal_round(rows: DataFrame, seed: int = SEED) -> DataFrame:
@@ -94,64 +100,76 @@ def pivotal_round(rows: DataFrame, seed: int = SEED) -> DataFrame:
 
     Each step pairs two fractional probabilities and moves words between them
     (the sum of p * size stays as it is) at random, so that both keep their
-    expectation, until one of them is 0 or 1. In a leaf, about FAN_IN documents
-    of a source that share one p, a document is paired with the pool of the
-    smaller ones, so that even a very long document becomes integral and the one
-    that stays fractional is a short one. Such residuals go to the next level,
-    where about FAN_IN of a source meet again in pairs; the last one of a source
-    is rounded at random. ``nodes`` is the source's number of leaves; a node is
-    a hash of the id, so a source with a third of all rows is dealt to as many
-    nodes as it needs. ``row`` is a row's identity; chance depends on id, size
-    and seed alone.
+    expectation, until one of them is 0 or 1; see _PIVOT for the documents that
+    could end in one way only. A node of the tree meets about FAN_IN documents
+    of a source, the largest first, so that what stays fractional is a short
+    one. It goes to the next level, where about FAN_IN such residuals of a
+    source meet; the last one of a source is rounded, see _SETTLE.
+    ``nodes`` is the source's number of leaves; a node is a hash of the id, so a
+    source with a third of all rows is dealt to as many nodes as it needs.
+    ``row`` is a row's identity; chance depends on id, size and seed alone.
     """
     done = None
     level = 0
     while True:
         node = F.pmod(F.xxhash64("id", F.lit(level), F.lit(seed)), F.col("nodes"))
         grouped = rows.groupBy("source", "nodes", node.alias("node")).agg(F.collect_list(F.struct("size", "id", "row", "p")).alias("items"))
-        out = stored(grouped.select("source", "nodes", F.expr((_PIVOT if level else _LEAF).format(level=level, seed=seed)).alias("s")))
-        left = out.select("source", "nodes", "s.row", "s.id", "s.size", "s.p")
+        out = stored(grouped.select("source", "nodes", F.expr(_PIVOT.format(level=level, seed=seed)).alias("s")).select("source", "nodes", "s", F.expr(_SETTLE).alias("done")))
+        left = out.where("nodes > 1").select("source", "nodes", "s.row", "s.id", "s.size", "s.p")
         whole = (F.col("p") <= 1e-9) | (F.col("p") >= 1 - 1e-9)
-        u = F.pmod(F.xxhash64("id", "size", F.lit("last"), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-        ended = left.where(whole | (F.col("nodes") <= 1)).select("row", F.when(whole, F.round("p")).otherwise((u < F.col("p")).cast("int")).cast("int").alias("copy"))
-        part = out.select(F.inline("s.done")).unionByName(ended)
+        part = out.select(F.inline("done")).select("row", "copy").unionByName(left.where(whole).select("row", F.round("p").cast("int").alias("copy")))
         done = part if done is None else done.unionByName(part)
         if (out.agg(F.max("nodes")).first()[0] or 1) <= 1:
             return done
-        rows = left.where(~whole & (F.col("nodes") > 1)).withColumn("nodes", F.ceil(F.col("nodes") / FAN_IN))
+        rows = left.where(~whole).withColumn("nodes", F.ceil(F.col("nodes") / FAN_IN))
         level += 1
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken of each row of docs (doc_id, text, source).
-
-    Size is the number of words of the whole text (null: 0). A row's expected
-    copies are target / source_size; the whole part is certain, the fraction is
-    rounded by pivotal_round(). Rows without words are never fractional and take
-    0. Repeated rows and doc_ids are rows of their own. An empty table gives an
-    empty result. Only doc_id, text and source are read, so other columns of any
-    name do no harm. The same rows give the same result.
-    """
-    sized = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = stored(sized)
+def _key(doc_id: Column, text: Column, source: Column) -> Column:
+    """128 bits of what a row is told by, the same in any reading."""
+    return F.unhex(F.md5(F.concat_ws("\x00", *[F.coalesce(c.cast("string"), F.lit("\x01")) for c in (source, doc_id, text)])))
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...], cap: int, seed: int) -> DataFrame:
+    """doc_id, key, size, source_size, target, copies of each row."""
+    sized = docs.select("doc_id", "source", _key(F.col("doc_id"), F.col("text"), F.col("source")).alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = stored(sized.withColumn("row", F.monotonically_increasing_id()))  # stored with the rows, so it stays what it is
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / FAN_IN).alias("nodes"))
-    targets = stored(source_targets(sizes, weights, float(cap)))
+    targets = stored(source_targets(sizes, weights, cap))
     keyed = lambda df: df.withColumn("k", F.struct(F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none")))
     rows = salted_lookup(keyed(sized), keyed(targets).drop("source"), "k", "row").drop("k")
     rows = rows.withColumn("want", F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     rows = rows.withColumn("sure", F.floor(F.col("want") + 1e-12).cast("int")).withColumn("p", F.greatest(F.lit(0.0), F.col("want") - F.col("sure")))
-    rounded = pivotal_round(rows.where("p > 1e-12").select("source", "nodes", "row", F.xxhash64("doc_id").alias("id"), "size", "p"), seed)
-    out = rows.join(rounded, "row", "left").withColumn("copies", (F.col("sure") + F.coalesce("copy", F.lit(0))).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    rounded = pivotal_round(rows.where("p > 1e-12").select("source", "nodes", "row", F.xxhash64("key").alias("id"), "size", "p"), seed)
+    return rows.join(rounded, "row", "left").withColumn("copies", (F.col("sure") + F.coalesce("copy", F.lit(0))).cast("long"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies of each row of docs (doc_id, text, source).
+
+    Size is the number of words of the whole text, however long (null: 0). A
+    row's expected copies are target / source_size; the whole part is certain,
+    the fraction is rounded by pivotal_round(). Rows without words are never
+    fractional and take 0. Repeated rows, doc_ids and null doc_ids are rows of
+    their own; documents of one size tie by a hash of what they hold. An empty
+    table gives an empty result. Only doc_id, text and source are read, so other
+    columns of any name do no harm. The same rows give the same result.
+    """
+    return _mixed(docs, weights, cap, seed).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def keep_mix(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, each as often as the mix takes it.
+    """The rows of docs, with all columns of any name, each as often as the mix takes it.
 
-    Rows that share a doc_id are taken together: each as often as the one that mix() takes most.
+    Rows that agree in doc_id, text and source are one row that is taken as
+    often as all of them together. Rows without words go, as the mix takes 0 of
+    them. An empty table gives an empty result.
     """
-    taken = stored(mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0"))
-    rows = docs.select(F.col("doc_id").alias("_key"), F.struct(*docs.columns).alias("_row")).join(taken.hint("merge"), F.col("_key").eqNullSafe(F.col("_id")))
+    taken = stored(_mixed(docs, (1.0, 2.0, 3.0), MAX_COPIES, SEED).groupBy("key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0"))
+    rows = docs.select(_key(F.col("doc_id"), F.col("text"), F.col("source")).alias("key"), row_struct(docs).alias("_row")).join(taken.hint("merge"), "key")
+    if taken.where("_rows > 1").limit(1).count():
+        once = rows.where("_rows > 1").groupBy("key").agg(F.first("_row").alias("_row"), F.first("_copies").alias("_copies"))
+        rows = rows.where("_rows = 1").select("key", "_row", "_copies").unionByName(once)
     return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_k")).select("_row.*")
 
 

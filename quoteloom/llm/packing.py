@@ -19,10 +19,10 @@ LENGTH = 2048
 #: Id that ends a document.
 END = 1
 #: Penalties, in padding tokens: of a sequence, of a cut between sentences and of one within a sentence.
-PER_SEQUENCE, AT_SENTENCE, IN_SENTENCE = 2.0, 8.0, 48.0
+PER_SEQUENCE, AT_SENTENCE, IN_SENTENCE = 16.0, 8.0, 48.0
 #: A sentence of more tokens may be cut every so many tokens.
 FORCED = 64
-#: Tokens that one dynamic program sees; its last, open sequence starts the next one.
+#: Tokens after which the program looks for cuts that can't change any more. It bounds memory and leaves the result as it is.
 HORIZON = 1 << 19
 
 _ends: dict[str | None, np.ndarray] = {}
@@ -35,57 +35,84 @@ def sentence_ends(path: str | None) -> np.ndarray:
     return _ends[path]
 
 
-def choose_cuts(at: np.ndarray, penalty: np.ndarray, length: int = LENGTH) -> list[int]:
-    """Positions of the cuts that cost least.
+def best_backs(at: np.ndarray, penalty: np.ndarray, length: int = LENGTH) -> list[int]:
+    """For each cut position the one before it on the cheapest way there.
 
     ``at`` are rising cut positions from 0 on, the last one the end, no two
     neighbours more than ``length`` apart; ``penalty`` is what a cut there costs.
-    A window costs its padding up to ``length``, or none if it is a power of two
-    of a quarter of it or more. best[j] = min over i of best[i] + length -
-    (at[j] - at[i]) + penalty[j], so the minimum of best[i] + at[i] over the
-    reachable i is all a transition needs: a monotone queue gives it in constant
-    time. Windows of a power of two are looked up by their start.
+    A window costs its padding up to ``length``, or none if it is a power of two.
+    best[j] = min over i of best[i] + length - (at[j] - at[i]) + penalty[j], so
+    the minimum of best[i] + at[i] over the reachable i is all a transition
+    needs: a monotone queue gives it in constant time. Windows of a power of two
+    are looked up by their start. Of equal costs the earliest start wins.
     """
     n = len(at)
     exact: dict[int, list[int]] = {}
-    power = length // 4
+    power = 1
     while power < length:
         want = at - power
         k = np.searchsorted(at, want)
         for j in np.flatnonzero((want >= 0) & (at[np.minimum(k, n - 1)] == want)).tolist():
             exact.setdefault(j, []).append(int(k[j]))
         power *= 2
-    pos, cost = at.tolist(), penalty.tolist()
+    pos, cost = at.tolist(), (penalty + PER_SEQUENCE).tolist()
     best = [0.0] * n
     back = [0] * n
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])
+    keys: deque[float] = deque([0.0])
+    starts: deque[int] = deque([0])
     for j in range(1, n):
         p = pos[j]
-        while pos[queue[0][1]] < p - length:
-            queue.popleft()
-        low, i = queue[0]
-        low += length - p
-        for e in exact.get(j, ()):
-            if best[e] < low:
-                low, i = best[e], e
-        best[j] = low = low + cost[j] + PER_SEQUENCE
+        while pos[starts[0]] < p - length:
+            starts.popleft()
+            keys.popleft()
+        low, i = keys[0] + length - p, starts[0]
+        if j in exact:
+            for e in exact[j]:
+                if best[e] < low:
+                    low, i = best[e], e
+        best[j] = low = low + cost[j]
         back[j] = i
-        key = low + p
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
+        low += p
+        while keys and keys[-1] >= low:
+            keys.pop()
+            starts.pop()
+        keys.append(low)
+        starts.append(j)
+    return back
+
+
+def path(back: list[int], j: int) -> list[int]:
+    """The cuts of the cheapest way to cut j."""
     out = []
-    j = n - 1
     while j:
-        out.append(pos[j])
+        out.append(j)
         j = back[j]
     return out[::-1]
 
 
+def settled(at: np.ndarray, back: list[int], length: int = LENGTH) -> int:
+    """The last cut that the cheapest ways to all cuts have in common that a later window can start from."""
+    live = set(range(int(np.searchsorted(at, at[-1] - length)), len(at)))
+    while len(live) > 1:
+        last = max(live)
+        live.remove(last)
+        live.add(back[last])
+    return live.pop()
+
+
+def choose_cuts(at: np.ndarray, penalty: np.ndarray, length: int = LENGTH) -> list[int]:
+    """Positions of the cuts that cost least; see best_backs()."""
+    return at[path(best_backs(at, penalty, length), len(at) - 1)].tolist()
+
+
 def pack(stream: Iterator[tuple[object, np.ndarray]], ends: np.ndarray, length: int = LENGTH, horizon: int = HORIZON) -> Iterator[tuple]:
-    """(doc, ids) in order -> (doc, start, ids of the piece, doc_tokens, sequence, offset), in order."""
+    """(doc, ids) in order -> (doc, start, ids of the piece, doc_tokens, sequence, offset), in order.
+
+    The cuts are those of one dynamic program over all documents, whatever the
+    horizon: only cuts that every cheapest way has are made before the end.
+    """
     docs: list[tuple[object, np.ndarray, int]] = []  # document, its ids, where it starts in the buffer (maybe before)
-    size, sequence = 0, 0
+    size, sequence, due = 0, 0, horizon
 
     def flush(final: bool) -> Iterator[tuple]:
         nonlocal docs, size, sequence
@@ -106,9 +133,9 @@ def pack(stream: Iterator[tuple[object, np.ndarray]], ends: np.ndarray, length:
                 cut, cost = cut[by], cost[by]
             marks.append(cut + first)
             costs.append(cost)
-        cuts = choose_cuts(np.concatenate(marks), np.concatenate(costs), length)
-        if not final:
-            cuts = cuts[:-1]
+        places = np.concatenate(marks)
+        back = best_backs(places, np.concatenate(costs), length)
+        cuts = places[path(back, len(places) - 1 if final else settled(places, back, length))].tolist()
         done = cuts[-1] if cuts else 0
         last, k = 0, 0
         for end in cuts:
@@ -128,8 +155,9 @@ def pack(stream: Iterator[tuple[object, np.ndarray]], ends: np.ndarray, length:
     for doc, ids in stream:
         docs.append((doc, ids, size))
         size += len(ids)
-        if size >= horizon:
+        if size >= due:
             yield from flush(False)
+            due = size + horizon  # what isn't settled yet stays
     if docs:
         yield from flush(True)
 
@@ -164,8 +192,10 @@ def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGT
     is packed on its own, so nothing is shuffled and only its last sequence may
     be short. Cuts are at the ends of documents or sentences; only a sentence of
     over 2 * FORCED tokens may be cut elsewhere. A null text is empty and has the
-    end id alone. Repeated rows are packed as often as they come; other columns
-    aren't read; an empty table gives no piece. ``path`` is the vocabulary file
+    end id alone. Repeated rows are packed as often as they come, each as its own
+    document; a null doc_id stays null. A long document is held whole with what
+    is packed around it. Equally cheap cuts are settled by the earliest start.
+    Other columns aren't read; an empty table gives no piece. ``path`` is the vocabulary file
     (None: the public one as installed on each machine).
     """
     return docs.select("doc_id", "text").mapInArrow(_run(path, length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

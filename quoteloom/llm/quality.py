@@ -99,7 +99,7 @@ def rules() -> dict[str, Column]:
         "few_letters": _when("10 * n_letters < 8 * word_chars", -1),
         "repetition": _when("100 * n_repeat_words > 20 * n_words", -1),
         "odd_words": _when("word_chars > 10 * n_words OR word_chars < 3 * n_words", -1),
-        "small_vocabulary": _when("n_words BETWEEN 50 AND 2000 AND 10 * n_distinct < 3 * n_words", -1),
+        "small_vocabulary": _when("n_words >= 50 AND n_distinct * n_distinct < 8 * n_words", -1),
         "prose": _when(f"100 * n_letters >= 92 * word_chars AND 2 * word_chars BETWEEN 7 * n_words AND 16 * n_words AND {plain}", 1),
         "fresh_lines": _when(f"n_dup_lines = 0 AND n_lines > 0 AND 100 * n_repeat_words <= 5 * n_words AND {plain}", 1),
         "rich_vocabulary": _when(f"10 * n_distinct >= 5 * n_words AND {plain}", 1),

@@ -21,5 +21,4 @@ QUERIES: dict[str, Callable] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": chunk_dedup.ORACLE,
-    "op10_token_rollup": rollups.ORACLE,
 }

@@ -62,23 +62,24 @@ def repeated(columns: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np
 
     ``columns`` holds a symbol a cell, 256 where a string has none; ``group``
     rises. Each round inserts one symbol of each string, from the last column to
-    the first: the strings are sorted by their suffixes from that column on, and
-    ``common`` is the length of the prefix that each shares with the one before
-    it. A round reads both in order: a stable sort of the symbols in the order of
-    the round before is the new order, and what two neighbours with the same
-    symbol share is one more than the least that lay between them.
+    the first. What is kept between rounds is the Burrows-Wheeler transform of
+    the column, that is in the order of the strings' suffixes the symbol before
+    each, and ``common``, the length of the prefix that each suffix shares with
+    the one before it. A round reads both in sequence: a symbol's rank among its
+    equals is where its suffix goes (a stable sort), and what two neighbours with
+    the same symbol share is one more than the least that lay between them.
     """
     m, width = columns.shape
     out = np.zeros((m, width), bool)
     order = np.arange(m)
     common = np.zeros(m + 1, np.int32)
     base = group.astype(np.int64) * 257
+    transform = columns[:, width - 1]
     for c in range(width - 1, -1, -1):
-        symbol = columns[order, c]
-        key = base[order] + symbol
+        key = base[order] + transform
         by = np.argsort(key, kind="stable")
         key = key[by]
-        same = np.flatnonzero((key[1:] == key[:-1]) & (symbol[by[1:]] < 256)) + 1
+        same = np.flatnonzero((key[1:] == key[:-1]) & (transform[by[1:]] < 256)) + 1
         new = np.zeros(m + 1, np.int32)
         if len(same):
             pairs = np.empty(2 * len(same), np.int64)
@@ -86,15 +87,22 @@ def repeated(columns: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np
             pairs[1::2] = by[same] + 1
             new[same] = np.minimum.reduceat(common, pairs)[0::2] + 1
         order, common = order[by], new
+        transform = columns[order, c - 1]
         hit = common[:m] >= length
         out[order[hit], c] = True
         out[order[np.flatnonzero(hit) - 1], c] = True
     return out
 
 
-def _identity(doc_id, text: str) -> int:
-    h = xxhash.xxh3_64_intdigest(f"{doc_id}\n".encode() + text.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
+#: Bits that a text's place takes; above them a further part of its identity travels.
+_PLACE = 40
+
+
+def _identity(doc_id, text: str) -> tuple[int, int]:
+    """64 and 15 bits that any reading of a row gives it: texts are joined by the first and told apart by the second."""
+    h = xxhash.xxh3_128_intdigest(f"{doc_id}\n".encode() + text.encode("utf-8", "surrogatepass"))
+    low = h & ((1 << 64) - 1)
+    return low - (1 << 64) if low >> 63 else low, h >> 113
 
 
 def _rows(b: pa.RecordBatch):
@@ -109,8 +117,9 @@ def _anchors(batches):
             for i, text in _rows(b.slice(at, 256)):
                 h, p, s1, s2 = anchors(text.encode("utf-8", "surrogatepass"))
                 hs.append(h)
-                ids.append(np.full(len(h), _identity(i, text)))
-                packed.append(p << 16 | (p - s1) << 8 | (p - s2))
+                did, tag = _identity(i, text)
+                ids.append(np.full(len(h), did))
+                packed.append(tag << 47 | p << 16 | (p - s1) << 8 | (p - s2))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (hs, ids, packed)], ["h", "did", "place"])
 
 
@@ -125,7 +134,8 @@ def _packed(batches):
     z = zstandard.ZstdCompressor(level=3)
     for b in _pieces(batches):
         rows = list(_rows(b))
-        yield pa.RecordBatch.from_arrays([pa.array([_identity(i, t) for i, t in rows], pa.int64()), pa.array([i for i, _ in rows], pa.int64()), pa.array([z.compress(t.encode("utf-8", "surrogatepass")) for _, t in rows], pa.binary())], ["did", "doc_id", "z"])
+        own = [_identity(i, t) for i, t in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in own], pa.int64()), pa.array([g for _, g in own], pa.int64()), pa.array([i for i, _ in rows], pa.int64()), pa.array([z.compress(t.encode("utf-8", "surrogatepass")) for _, t in rows], pa.binary())], ["did", "tag", "doc_id", "z"])
 
 
 def _cut(batches):
@@ -134,11 +144,13 @@ def _cut(batches):
     names = ["h", "part", "did", "at", "lead", "bytes"]
     for b in _pieces(batches):
         rows: list[tuple] = []
-        for did, raw, found in zip(b.column("did").to_pylist(), b.column("z").to_pylist(), b.column("found").to_pylist(), strict=True):
+        for did, tag, raw, found in zip(b.column("did").to_pylist(), b.column("tag").to_pylist(), b.column("z").to_pylist(), b.column("found").to_pylist(), strict=True):
             raw = z.decompress(raw)
             for f in found:
-                p, lead, tail = f["place"] >> 16, f["place"] >> 8 & 255, f["place"] & 255
-                rows.append((f["h"], did % f["parts"] if f["parts"] else -1, did, p - lead, lead, raw[p - lead : p - tail + LENGTH]))
+                if f["place"] >> 47 != tag:
+                    continue
+                p, lead, tail = f["place"] >> 16 & 0x7FFFFFFF, f["place"] >> 8 & 255, f["place"] & 255
+                rows.append((f["h"], (did + p) % f["parts"] if f["parts"] else -1, did, tag << _PLACE | p - lead, lead, raw[p - lead : p - tail + LENGTH]))
             if len(rows) >= 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CUT, strict=True)], names)
                 rows = []
@@ -210,10 +222,11 @@ def _remove(batches):
     z = zstandard.ZstdDecompressor()
     for b in _pieces(batches):
         rows = []
-        for doc_id, raw, spans in zip(b.column("doc_id").to_pylist(), b.column("z").to_pylist(), b.column("spans").to_pylist(), strict=True):
+        for doc_id, tag, raw, spans in zip(b.column("doc_id").to_pylist(), b.column("tag").to_pylist(), b.column("z").to_pylist(), b.column("spans").to_pylist(), strict=True):
             raw = z.decompress(raw)
             merged: list[list[int]] = []
-            for s in sorted((s["start"], s["end"]) for s in spans or ()):
+            base = tag << _PLACE
+            for s in sorted((s["start"] - base, s["end"] - base) for s in spans or () if s["start"] >> _PLACE == tag):
                 if merged and s[0] <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], s[1])
                 else:
@@ -239,11 +252,13 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Equal strings have the same anchor, so only the surroundings of anchors that
     occur twice are cut out; they are sorted column by column in groups of an
-    anchor (see repeated()). An anchor of more than GROUP occurrences is dealt to
-    several groups, which leave the strings that they don't find twice, and one
-    of each that they do, to be counted over all groups by 128-bit hash. Spark's
+    anchor (see repeated()). An anchor of more than GROUP occurrences, be it in
+    many texts or in one that repeats itself, is dealt to several groups by text
+    and place. They leave the strings that they don't find twice, and one of
+    each that they do, to be counted over all groups by 128-bit hash. Spark's
     sorted shuffle files are the external files that a group is read from in
-    sequence; memory follows ROWS and GROUP.
+    sequence. A task holds ROWS surroundings, one group at least, and one text
+    with the places of its anchors.
     """
     rows = docs.select("doc_id", "text")
     found = rows.mapInArrow(_anchors, "h long, did long, place long")
@@ -251,15 +266,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     twice = stored(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     parts = F.when(F.col("n") > GROUP, F.ceil(F.col("n") / GROUP)).otherwise(0)
     places = found.join(twice, "h").groupBy("did").agg(F.collect_set(F.struct("place", "h", parts.cast("long").alias("parts"))).alias("found"))
-    texts = rows.mapInArrow(_packed, "did long, doc_id long, z binary")
-    cut = texts.join(places, "did").select("did", "z", "found").mapInArrow(_cut, "h long, part long, did long, at long, lead int, bytes binary")
+    texts = rows.mapInArrow(_packed, "did long, tag long, doc_id long, z binary")
+    cut = texts.join(places, "did").select("did", "tag", "z", "found").mapInArrow(_cut, "h long, part long, did long, at long, lead int, bytes binary")
     hits = stored(cut.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(_search, "h long, did long, start long, end long, offset int, digest binary"))
     open_ = hits.where("digest IS NOT NULL")
     again = open_.groupBy("h", "offset", "digest").count().where("count > 1").drop("count")
     late = open_.where("did IS NOT NULL").join(again, ["h", "offset", "digest"], "left_semi")
     spans = hits.where("digest IS NULL").select("did", "start", "end").unionByName(late.select("did", "start", "end"))
     spans = spans.groupBy("did").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return texts.join(spans, "did", "left").select("doc_id", "z", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
+    return texts.join(spans, "did", "left").select("doc_id", "tag", "z", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

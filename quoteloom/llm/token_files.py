@@ -20,142 +20,181 @@ from .tokens import encoder
 END = 2
 #: Tokens of a shard, about: a shard is closed by the first document that reaches it.
 SHARD_TOKENS = 1 << 20
-#: First nonterminal; symbols fit 16 bits.
-FIRST = 50_304
-#: Rounds of replacement, pairs that a round replaces at most, and the least count of a pair that is worth a rule.
-ROUNDS, PAIRS, LEAST = 6, 2_048, 6
-MAGIC = b"QLRP0001"
+#: Pairs that a round replaces at most, and the least count of a pair that is worth a rule.
+PAIRS, LEAST = 8_192, 8
+MAGIC = b"QLRP0002"
+_SLOTS = 20
 
 
 @dataclass
 class Shard:
-    """A grammar and the documents it spells: symbols[marks[i]:marks[i+1]] expand to document i."""
+    """A grammar and the documents it spells: symbols[marks[i]:marks[i+1]] expand to document i.
 
+    Symbols below ``first`` are ids, symbol first + k is rule k: the symbols
+    left[k] and right[k], which are older, and spell expansion[k] ids.
+    """
+
+    first: int
     left: np.ndarray
     right: np.ndarray
     expansion: np.ndarray
-    round_ends: np.ndarray
     symbols: np.ndarray
     doc_ids: np.ndarray
+    known: np.ndarray
     marks: np.ndarray
     starts: np.ndarray
 
+    def _kinds(self) -> list[tuple[str, str]]:
+        sym = "<u2" if self.first + len(self.left) <= 1 << 16 else "<u4"
+        return [("left", sym), ("right", sym), ("expansion", "<u4"), ("doc_ids", "<i8"), ("known", "<u1"), ("marks", "<u8"), ("starts", "<u8"), ("symbols", sym)]
+
     def to_bytes(self) -> bytes:
-        """Little-endian: magic, four counts, rules, expansion lengths, ends of the rounds, documents, symbols."""
-        head = struct.pack("<4Q", len(self.left), len(self.round_ends), len(self.doc_ids), len(self.symbols))
-        parts = [self.left.astype("<u2"), self.right.astype("<u2"), self.expansion.astype("<u4"), self.round_ends.astype("<u4"), self.doc_ids.astype("<i8"), self.marks.astype("<u4"), self.starts.astype("<u8"), self.symbols.astype("<u2")]
-        return MAGIC + head + b"".join(p.tobytes() for p in parts)
+        """Little-endian: magic, first nonterminal, three counts, rules, expansion lengths, documents (id, whether it has one, first symbol, first token), symbols."""
+        head = struct.pack("<4Q", self.first, len(self.left), len(self.doc_ids), len(self.symbols))
+        return MAGIC + head + b"".join(getattr(self, n).astype(k).tobytes() for n, k in self._kinds())
 
     @staticmethod
     def from_bytes(raw: bytes) -> Shard:
         """Reads what to_bytes() wrote."""
         if raw[:8] != MAGIC:
             raise ValueError("not a shard")
-        rules, rounds, docs, symbols = struct.unpack("<4Q", raw[8:40])
-        at, out = 40, []
-        for kind, n in (("<u2", rules), ("<u2", rules), ("<u4", rules), ("<u4", rounds), ("<i8", docs), ("<u4", docs + 1), ("<u8", docs + 1), ("<u2", symbols)):
-            out.append(np.frombuffer(raw, kind, n, at))
-            at += n * int(kind[-1])
-        left, right, expansion, ends, ids, marks, starts, sym = out
-        return Shard(left, right, expansion, ends, sym, ids, marks, starts)
+        first, rules, docs, symbols = struct.unpack("<4Q", raw[8:40])
+        n = {"left": rules, "right": rules, "expansion": rules, "doc_ids": docs, "known": docs, "marks": docs + 1, "starts": docs + 1, "symbols": symbols}
+        out = Shard(first, np.zeros(rules), *[np.zeros(0)] * 7)
+        at, got = 40, {}
+        for name, kind in out._kinds():
+            got[name] = np.frombuffer(raw, kind, n[name], at)
+            at += n[name] * int(kind[-1])
+        return Shard(first, **got)
+
+    def _sizes(self, symbols: np.ndarray) -> np.ndarray:
+        """How many ids each symbol spells."""
+        out = np.ones(len(symbols), np.int64)
+        rule = symbols >= self.first
+        out[rule] = self.expansion[symbols[rule] - self.first]
+        return out
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids that symbols spell; the rules of the last round go first."""
+        """The ids that symbols spell: expansion lengths tell where each side of a rule goes, level by level."""
         s = symbols.astype(np.int64)
-        ends = self.round_ends.tolist()
-        for low in reversed([0, *ends[:-1]] if ends else []):
-            rule = s >= FIRST + low
-            if rule.any():
-                at = np.cumsum(rule + 1) - 1
-                out = np.empty(int(at[-1]) + 1, np.int64)
-                out[at] = s
-                out[at[rule]] = self.right[s[rule] - FIRST]
-                out[at[rule] - 1] = self.left[s[rule] - FIRST]
-                s = out
-        return s.astype(np.uint32)
+        sizes = self._sizes(s)
+        ends = np.cumsum(sizes)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        at = ends - sizes
+        while len(s):
+            done = s < self.first
+            out[at[done]] = s[done]
+            k, at = s[~done] - self.first, at[~done]
+            if not len(k):
+                break
+            a = self.left[k].astype(np.int64)
+            s, at = np.concatenate([a, self.right[k]]), np.concatenate([at, at + self._sizes(a)])
+        return out
+
+    def documents(self) -> list[np.ndarray]:
+        """The ids of all documents, in order."""
+        return np.split(self.expand(self.symbols), self.starts[1:-1].astype(np.int64)) if len(self.doc_ids) else []
 
     def document(self, i: int) -> np.ndarray:
         """The ids of one document; the others aren't expanded."""
-        return self.expand(self.symbols[self.marks[i] : self.marks[i + 1]])
+        return self.expand(self.symbols[int(self.marks[i]) : int(self.marks[i + 1])])
 
     def read(self, i: int, start: int, n: int) -> np.ndarray:
         """ids[start:start + n] of a document: expansion lengths find the symbols that cover them."""
-        s = self.symbols[self.marks[i] : self.marks[i + 1]].astype(np.int64)
-        size = np.ones(len(s), np.int64)
-        rule = s >= FIRST
-        size[rule] = self.expansion[s[rule] - FIRST]
-        ends = np.cumsum(size)
+        s = self.symbols[int(self.marks[i]) : int(self.marks[i + 1])].astype(np.int64)
+        ends = np.cumsum(self._sizes(s))
         a, b = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, start + n) + 1
         skip = start - (int(ends[a - 1]) if a else 0)
         return self.expand(s[a:b])[skip : skip + n]
 
 
-def re_pair(docs: list[tuple[int, np.ndarray]]) -> Shard:
-    """Compresses documents: each round replaces the most frequent pairs of symbols by nonterminals.
+def re_pair(docs: list[tuple[int | None, np.ndarray]], pairs: int = PAIRS, least: int = LEAST) -> Shard:
+    """Compresses documents: replaces the most frequent pairs of symbols by nonterminals until no pair occurs ``least`` times.
 
-    Pairs don't reach across documents. Where chosen pairs overlap, the more
-    frequent one wins. Ids of FIRST or more can't be stored (ValueError).
+    Pairs don't reach across documents. A round replaces up to ``pairs`` of them
+    at once; where chosen pairs overlap the more frequent one wins, and of a run
+    of one symbol every second pair is taken. A pair whose hash slot a more
+    frequent one has waits for a later round.
     """
     sizes = np.array([len(ids) for _, ids in docs], np.int64)
     seq = np.concatenate([ids for _, ids in docs]).astype(np.uint32) if docs else np.zeros(0, np.uint32)
-    if len(seq) and int(seq.max()) >= FIRST:
-        raise ValueError("id too large")
+    first = int(seq.max()) + 1 if len(seq) else 0
     last = np.zeros(len(seq), bool)
     last[np.cumsum(sizes)[sizes > 0] - 1] = True
-    left, right, length, round_ends = [], [], [], []
-    for _ in range(ROUNDS):
-        room = min(PAIRS, (1 << 16) - FIRST - sum(map(len, left)))
-        if len(seq) < 2 or room <= 0:
+    left, right, length = [], [], []
+    rules = 0
+    known = np.zeros(0, np.int64)
+    slots = np.zeros(1 << _SLOTS, np.int32)
+    slot_of = lambda x, y: (x * np.uint32(0x9E3779B1) + y * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _SLOTS)
+    # where a pair starts that may occur often enough: counts only fall, so later rounds look at new symbols and what was left waiting
+    alive = ~last
+    while True:
+        at = np.flatnonzero(alive)
+        # a slot of the hash counts its pairs, so that only those that may be frequent are sorted
+        slot = slot_of(seq[at], seq[at + 1])
+        ok = (np.bincount(slot, minlength=1 << _SLOTS) >= least)[slot]
+        alive[at[~ok]] = False
+        at, slot = at[ok], slot[ok]
+        key = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        found, counts = np.unique(key, return_counts=True)
+        good = counts >= least
+        found, counts = found[good], counts[good]
+        if not len(found):
             break
-        key = (seq[:-1] << np.uint32(16)) | seq[1:]
-        bucket = (key * np.uint32(0x9E3779B1)) >> np.uint32(12)
-        often = np.flatnonzero((np.bincount(bucket, minlength=1 << 20)[bucket] >= LEAST) & ~last[:-1])
-        pairs, counts = np.unique(key[often], return_counts=True)
-        good = counts >= LEAST
-        pairs, counts = pairs[good], counts[good]
-        if not len(pairs):
-            break
-        if len(pairs) > room:
-            top = np.argsort(-counts, kind="stable")[:room]
-            pairs, counts = pairs[np.sort(top)], counts[np.sort(top)]
-        rank = np.empty(len(pairs), np.int64)
-        rank[np.argsort(-counts, kind="stable")] = np.arange(len(pairs))
-        place = np.searchsorted(pairs, key[often])
-        place[place == len(pairs)] = 0
-        hit = pairs[place] == key[often]
-        order = np.full(len(seq) + 1, len(pairs), np.int64)
-        order[often[hit] + 1] = rank[place[hit]]
-        own, before, after = order[1:], order[:-1], np.append(order[2:], len(pairs))
-        take = np.flatnonzero((own < len(pairs)) & (own < before) & (own <= after))
-        used, new = np.unique(own[take], return_inverse=True)
-        by_rank = pairs[np.argsort(rank)][used]
-        base = FIRST + sum(map(len, left))
-        a, b = by_rank >> np.uint32(16), by_rank & np.uint32(0xFFFF)
-        known = np.concatenate([np.ones(FIRST, np.int64), *length])
-        left.append(a), right.append(b), length.append(known[a] + known[b])
-        round_ends.append(base + len(used) - FIRST)
-        seq[take] = (base + new).astype(np.uint32)
+        found = found[np.argsort(-counts, kind="stable")[:pairs]]
+        a, b = (found >> np.uint64(32)).astype(np.uint32), found.astype(np.uint32)
+        own = slot_of(a, b)
+        slots[own[::-1]] = np.arange(len(found), 0, -1)  # 1 + rank; the most frequent pair of a slot is written last
+        rank = slots[slot]
+        slots[own] = 0
+        hit = rank > 0
+        hit[hit] = found[rank[hit] - 1] == key[hit]
+        at, rank, none = at[hit], rank[hit] - 1, len(found)
+        near = at[1:] == at[:-1] + 1
+        before, after = np.full(len(at), none, np.int32), np.full(len(at), none, np.int32)
+        before[1:][near] = rank[:-1][near]
+        after[:-1][near] = rank[1:][near]
+        heads = np.flatnonzero(np.concatenate([[True], ~near | (rank[1:] != rank[:-1])]))
+        run = np.repeat(heads, np.diff(np.append(heads, len(at))))  # where its run of one pair starts
+        odd = (np.arange(len(at)) - run + (before[run] < rank)) & 1
+        chosen = (odd == 0) & (rank <= after)
+        take = at[chosen]
+        used, new = np.unique(rank[chosen], return_inverse=True)
+        known = np.concatenate([known, np.zeros(len(used), np.int64)])
+        sides = []
+        for side in (a[used], b[used]):
+            n = np.ones(len(side), np.int64)
+            n[side >= first] = known[side[side >= first] - np.uint32(first)]
+            sides.append(n)
+        known[rules:] = sides[0] + sides[1]
+        left.append(a[used]), right.append(b[used]), length.append(known[rules:])
+        seq[take] = (first + rules + new).astype(np.uint32)
+        rules += len(used)
+        last[take] = last[take + 1]
+        alive[take] = True
+        alive[np.maximum(take - 1, 0)] = True
         keep = np.ones(len(seq), bool)
         keep[take + 1] = False
-        last[take] = last[take + 1]
         seq, last = seq[keep], last[keep]
+        alive = alive[keep] & ~last
     marks = np.zeros(len(docs) + 1, np.int64)
     filled = np.flatnonzero(sizes > 0)
     marks[1:][filled] = np.flatnonzero(last) + 1
     marks = np.maximum.accumulate(marks)
-    cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-    return Shard(cat(left, np.uint16), cat(right, np.uint16), cat(length, np.uint32), np.array(round_ends, np.uint32), seq.astype(np.uint16), np.array([i for i, _ in docs], np.int64), marks, np.concatenate([[0], np.cumsum(sizes)]))
+    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint32)
+    ids = [i for i, _ in docs]
+    return Shard(first, cat(left), cat(right), cat(length), seq, np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids]), marks, np.concatenate([[0], np.cumsum(sizes)]))
 
 
 def _write(path: str | None):
     def run(batches):
         part = TaskContext.get().partitionId()
         enc = encoder(path)
-        held: list[tuple[int, np.ndarray]] = []
-        size = number = 0
+        held: list[tuple[int | None, np.ndarray]] = []
+        size = number = before = 0
 
         def close():
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([number], pa.int32()), "n_docs": pa.array([len(held)], pa.int64()), "n_tokens": pa.array([size], pa.int64()), "payload": pa.array([re_pair(held).to_bytes()], pa.binary())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([number], pa.int32()), "before": pa.array([before], pa.int64()), "n_docs": pa.array([len(held)], pa.int64()), "n_tokens": pa.array([size], pa.int64()), "payload": pa.array([re_pair(held).to_bytes()], pa.binary())})
 
         for b in batches:
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
@@ -164,6 +203,7 @@ def _write(path: str | None):
                 size += len(ids)
                 if size >= SHARD_TOKENS:
                     yield close()
+                    before += size
                     held, size, number = [], 0, number + 1
         if held:
             yield close()
@@ -175,38 +215,40 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> None:
     """Writes the ids of docs (doc_id, text) to folder, in ascending doc_id order.
 
     A row of the folder's Parquet files is a shard: its place in the order
-    (part, shard), its documents and tokens, and the payload of Shard.to_bytes().
-    Null texts are empty and have the end id alone. Repeated rows are written as
-    often as they come; rows without doc_id are left out. A document is never
-    split, so memory follows the longest document or SHARD_TOKENS.
+    (part, shard), the tokens of the part before it, its documents and tokens,
+    and the payload of Shard.to_bytes(). Rows without doc_id come first; rows of
+    one doc_id are ordered by their text's hash, then the text, and repeated rows
+    are written as often as they come. Null texts are empty and have the end id
+    alone. Other columns aren't read; an empty table writes no shard. A document
+    is never split, so memory follows the longest document or SHARD_TOKENS.
     """
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    rows.mapInArrow(_write(path), "part int, shard int, n_docs long, n_tokens long, payload binary").write.parquet(folder)
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    rows.mapInArrow(_write(path), "part int, shard int, before long, n_docs long, n_tokens long, payload binary").write.parquet(folder)
 
 
 def _read(batches):
     for b in batches:
         for base, raw in zip(b.column("base").to_pylist(), b.column("payload"), strict=True):
             s = Shard.from_bytes(raw.as_py())
-            crc, n = [], []
-            for i in range(len(s.doc_ids)):
-                ids = s.document(i)
-                crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                n.append(len(ids))
+            got = s.documents()
             starts = s.starts[:-1].astype(np.int64) + base
-            yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids), pa.array(starts), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            ids = pa.array(s.doc_ids, pa.int64(), mask=s.known == 0)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(starts), pa.array([len(d) for d in got], pa.int64()), pa.array([zlib.crc32(d.astype("<u4").tobytes()) for d in got], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document in a folder of write_tokens(), decoded from the files."""
+    """doc_id, start, n_tokens, ids_crc32 of each document in a folder of write_tokens(), decoded from the files.
+
+    The table that is broadcast has a row a part, that is a task of the write,
+    however many documents there are; the payloads aren't shuffled.
+    """
     shards = spark.read.parquet(folder)
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("before"))
-    within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = shards.select("part", "shard", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("own")).join(parts, "part")
-    bases = bases.select("part", "shard", (F.col("own") + F.col("before")).alias("base"))
-    return shards.join(bases, ["part", "shard"]).select("base", "payload").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    parts = parts.select("part", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("base"))
+    rows = shards.join(F.broadcast(parts), "part").select((F.col("base") + F.col("before")).alias("base"), "payload")
+    return rows.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,22 +4,20 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import regex
 
 #: Words whose ids a worker keeps; when it has more it starts anew.
-WORDS = 700_000
+WORDS = 1_000_000
+#: Words that the library merges in one call.
+JOINED = 200
 #: Characters that are split at once.
 STEP = 1 << 20
 
-#: Fixed value: how this kind of vocabulary splits text before it merges bytes.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: The same for ASCII texts, where the standard library's engine is faster.
-_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-#: Words that all these engines surely split alike.
-_PLAIN = regex.compile(r"[ \p{L}!-~\n]+")
+#: Words of letters and printable ASCII but the apostrophe, with single line breaks within: what the library's splitter makes of them depends on classes of characters alone.
+_PLAIN = regex.compile(r"[\p{L}!-&(-~]+(?:\n[\p{L}!-&(-~]+)*")
+_PLAIN_ASCII = re.compile(r"[!-&(-~]+(?:\n[!-&(-~]+)*")
 _SAFE = regex.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
 
 
@@ -31,7 +29,9 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
-_encoders: dict[str, Encoder] = {}
+_BYTES = {v: k for k, v in _LETTERS.items()}
+_SPACE, _LINE = _LETTERS[0x20], _LETTERS[0x0A]
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -41,95 +41,122 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """encode(text) gives the ids that the whole text has, special strings being ordinary text.
+def _class(c: str) -> str:
+    if c in " \n":
+        return "space" if c == " " else "line"
+    if "!" <= c <= "~" and not c.isalpha():
+        return "digit" if c.isdigit() else "sign"
+    return "letter" if c.isalpha() or "\udc80" <= c <= "\udcff" else "other"
+
+
+def _crosses(token: str) -> bool:
+    """Whether a token could join what the splitter keeps apart in a run of plain words."""
+    if any(c not in _BYTES for c in token):
+        return False
+    chars = bytes(_BYTES[c] for c in token).decode("utf-8", "surrogateescape")
+    kinds = {_class(c) for c in (chars[1:] if chars[:1] == " " else chars)}
+    return len(kinds) > 1 and "other" not in kinds and "'" not in chars
+
 
-    This kind of vocabulary never joins what a single space between two other
-    characters separates: the space starts the next word. So a text is cut there,
-    and each distinct word, or piece of it, is given to the library once.
+class Encoder:
+    """encode(text) gives the ids that the library gives for the whole text.
+
+    The library's splitter cuts at a single space between two other characters,
+    and the space starts the next word. So a text is cut there, and each distinct
+    word is given to the library's model once, many words in one call: plain
+    words don't mix in it, as no token of the vocabulary has two classes of
+    characters or a space within (checked when the file is read; otherwise each
+    word is encoded on its own). Special strings are cut out first, as the library
+    does; with ``special=False`` they are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self.model = self.tokenizer.model
+        added = self.tokenizer.get_added_tokens_decoder() if special else {}
+        self.added = {t.content: i for i, t in added.items()}
+        self.simple = not any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values())
+        self.marks = re.compile("|".join(f"({re.escape(s)})" for s in sorted(self.added, key=len, reverse=True))) if self.added else None
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.joins = not any(map(_crosses, vocab))
+        self.heads = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.heads[[i for t, i in vocab.items() if t.startswith(_SPACE)]] = True
         self.clear()
 
     def clear(self) -> None:
         """Forgets all words."""
         self.known: dict = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.sizes = np.zeros(1 << 14, np.int64)
-
-    def _merge(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(_LETTERS))]
-
-    def _learn(self, words: list) -> None:
-        """Keys are words without their leading space: word, or (word, " ") if its ends may be odd; or (word,) for a text's first one."""
-        flat: list[int] = []
-        ends = [0]
-        merge = self.model.tokenize
+
+    def _merge(self, words: list[str]) -> None:
+        """Learns plain words, each behind a space."""
+        ascii_only = "".join(words).isascii()
+        for at in range(0, len(words), JOINED):
+            part = words[at : at + JOINED]
+            run = (_SPACE + _SPACE.join(part)).replace("\n", _LINE) if ascii_only else (" " + " ".join(part)).encode().decode("latin-1").translate(_LETTERS)
+            ids = np.array([t.id for t in self.model.tokenize(run)], np.uint32)
+            starts = np.flatnonzero(self.heads[ids])
+            if len(starts) != len(part):
+                raise ValueError("words and ids don't fit")
+            raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
+            last = 0
+            for word, end in zip(part, ends, strict=True):
+                self.known[word] = raw[last:end]
+                last = end
+
+    def _alone(self, key: tuple | str) -> None:
+        """Learns a word by itself: (word,) is a text's first one, all others are behind a space."""
+        word = " " + key if isinstance(key, str) else key[0] if len(key) == 1 else " " + key[0]
+        self.known[key] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _learn(self, words: list) -> bool:
+        """Learns new words; False, and not all are learnt, if white space is at an end of any."""
+        simple, other, rest = [], [], []
         for key in words:
-            bare = key if isinstance(key, str) else key[0]
-            word = bare if isinstance(key, tuple) and len(key) == 1 else " " + bare
-            if bare.isalpha():
-                if bare.isascii():
-                    flat += [t.id for t in merge("Ġ" + bare if word is not bare else bare)]
-                else:
-                    flat += self._merge(word)
-            elif not _PLAIN.fullmatch(word):
-                flat += self.tokenizer.encode(word, add_special_tokens=False).ids
+            if not isinstance(key, str):
+                rest.append(key)
+            elif key.isascii():
+                (simple if _PLAIN_ASCII.fullmatch(key) else rest).append(key)
             else:
-                for piece in (_ASCII_PIECES if word.isascii() else _PIECES).findall(word):
-                    got = self.pieces.get(piece)
-                    if got is None:
-                        got = self.pieces[piece] = self._merge(piece)
-                    flat += got
-            ends.append(len(flat))
-        first, n = len(self.known), len(words)
-        while first + n > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.starts[first : first + n] = np.array(ends[:-1]) + self.used
-        self.sizes[first : first + n] = np.diff(ends)
-        self.used += len(flat)
-        self.known.update(zip(words, range(first, first + n), strict=True))
-
-    def _codes(self, words: list) -> np.ndarray:
-        """Where the words are; words that are new are learnt."""
-        codes = list(map(self.known.get, words))
-        if None in codes:
-            if len(self.known) >= WORDS:
-                self.clear()
-                codes = [None] * len(words)
-            missing = [i for i, c in enumerate(codes) if c is None]
-            self._learn(list(dict.fromkeys([words[i] for i in missing])))
-            for i in missing:
-                codes[i] = self.known[words[i]]
-        return np.array(codes, np.int64)
-
-    def _split(self, part: str, first: bool) -> list:
-        """Keys of a part; see _learn(). Only words that were never learnt need a look at their ends."""
-        words = part.split(" ")
-        known = self.known
-        if any([not w or _ends_odd(w) for w in words if w not in known]):
-            # such words are kept under another kind of key, so that a plain word in known has plain ends
-            words = [(w,) if first and not k else (w, " ") for k, w in enumerate(_SAFE.split(part))]
-        elif first:
+                (other if key.isalpha() or _PLAIN.fullmatch(key) else rest).append(key)
+        if any([not w or _ends_odd(w) for w in ((x if isinstance(x, str) else x[0]) for x in rest)]):
+            return False
+        for key in rest if self.joins else words:
+            self._alone(key)
+        if self.joins:
+            self._merge(simple)
+            self._merge(other)
+        return True
+
+    def _split(self, part: str, first: bool) -> bytes:
+        """The ids of a part. Only words that were never learnt need a look at their ends."""
+        if len(self.known) >= WORDS:
+            self.clear()
+        words: list = part.split(" ")
+        if first:
             words[0] = (words[0],)
-        return words
-
-    def encode(self, text: str) -> np.ndarray:
-        """uint32 ids."""
+        got = list(map(self.known.get, words))
+        if None not in got:
+            return b"".join(got)
+        missing, i = [], -1
+        for _ in range(got.count(None)):
+            i = got.index(None, i + 1)
+            missing.append(i)
+        if self._learn(list(dict.fromkeys([words[i] for i in missing]))):
+            for i in missing:
+                got[i] = self.known[words[i]]
+            return b"".join(got)
+        # such words are kept under another kind of key, so that a plain word in known has plain ends
+        keys = [(w,) if first and not k else (w, " ") for k, w in enumerate(_SAFE.split(part))]
+        for key in dict.fromkeys(keys):
+            if key not in self.known:
+                self._alone(key)
+        return b"".join([self.known[w] for w in keys])
+
+    def _plain(self, text: str) -> bytes:
         out = []
         at = 0
         while at < len(text):
@@ -137,13 +164,21 @@ class Encoder:
             if end - at > STEP:
                 cut = _SAFE.search(text, at + STEP)
                 end = cut.start() if cut else end
-            codes = self._codes(self._split(text[at + 1 : end] if at else text[:end], not at))
-            sizes = self.sizes[codes]
-            ends = np.cumsum(sizes)
-            take = np.arange(int(ends[-1])) + np.repeat(self.starts[codes] - ends + sizes, sizes)
-            out.append(self.ids[take])
+            out.append(self._split(text[at + 1 : end] if at else text[:end], not at))
             at = end
-        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+        return b"".join(out)
+
+    def encode(self, text: str) -> np.ndarray:
+        """uint32 ids."""
+        if self.marks is not None and any(s in text for s in self.added):
+            if not self.simple:
+                return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            parts, last = [], 0
+            for m in self.marks.finditer(text):
+                parts += [self._plain(text[last : m.start()]), np.uint32(self.added[m.group()]).tobytes()]
+                last = m.end()
+            return np.frombuffer(b"".join([*parts, self._plain(text[last:])]), np.uint32)
+        return np.frombuffer(self._plain(text), np.uint32)
 
 
 _ODD_ENDS = frozenset(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85")
@@ -155,12 +190,12 @@ def _ends_odd(word: str) -> bool:
     return a in _ODD_ENDS or b in _ODD_ENDS or a.isspace() or b.isspace()
 
 
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, special: bool = True) -> Encoder:
     """This worker's encoder of a file."""
-    path = path or vocabulary_path()
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = (path or vocabulary_path(), special)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 def token_strings(path: str | None = None) -> list[str]:

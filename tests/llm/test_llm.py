@@ -83,6 +83,25 @@ def test_quality(docs, empty):
     assert not got[0]["kept"] and got[10]["kept"] and quality.judge(empty).count() == 0
 
 
+def test_verdicts_follow_from_the_counts(docs):
+    """The votes, the label model and the posterior anew, in plain Python."""
+    got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    rows = []
+    for i, t in pairs(docs):
+        words, chars, symbols, dup, repeat, lines, letters, upper, distinct = quality.measure(t)
+        plain = 100 * symbols <= words and 10 * upper < letters
+        bad = [10 * symbols > words, lines >= 3 and 10 * dup > 3 * lines, 10 * upper > 3 * letters, 10 * letters < 8 * chars, 100 * repeat > 20 * words, chars > 10 * words or chars < 3 * words, words >= 50 and distinct**2 < 8 * words]
+        good = [100 * letters >= 92 * chars and 7 * words <= 2 * chars <= 16 * words and plain, dup == 0 and lines > 0 and 100 * repeat <= 5 * words and plain, 10 * distinct >= 5 * words and plain]
+        rows.append((i, [-int(x) for x in bad] + [int(x) for x in good], words < 20 or 100 * repeat > 30 * words))
+    accuracy = [0.8] * 10
+    for _ in range(200):
+        p = [1 / (1 + np.exp(-sum(v * np.log(a / (1 - a)) for v, a in zip(votes, accuracy, strict=True)))) for _, votes, _ in rows]
+        accuracy = [min(0.995, max(0.55, (1 + sum(q if v[k] > 0 else 1 - q for q, (_, v, _) in zip(p, rows, strict=True) if v[k])) / (2 + sum(v[k] != 0 for _, v, _ in rows)))) for k in range(10)]
+    for i, votes, failed in rows:
+        q = 1 / (1 + np.exp(-sum(v * np.log(a / (1 - a)) for v, a in zip(votes, accuracy, strict=True))))
+        assert got[i]["base_failed"] == failed and got[i]["quality"] == pytest.approx(q, abs=1e-4) and got[i]["kept"] == (not failed and got[i]["quality"] >= 0.5)
+
+
 def test_quality_agrees_with_labels(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("quality", "good")
@@ -286,26 +305,159 @@ def test_language(spark, docs, empty, sf):
     assert kept.columns == docs.columns and kept.where("lang IS NULL").count() == 0
 
 
-def test_rollups(spark, docs, sf):
-    counted = docs.withColumn("tokens", rollups.matches(rollups.WORD))
+def test_rollups(spark, docs, empty):
+    counted = rollups.counts(docs).persist()
+    enc, multi = tokens.encoder().tokenizer, rollups._multi()
+    clean = lambda t: "".join(c for c in t if c not in rollups.JUNK)
+    count = {"byte_bpe_50k/1": lambda t: len(enc.encode(t, add_special_tokens=False).ids), "byte_bpe_multi_50k/1": multi}
+    want_rows = Counter((i, n, f(t or ""), f(clean(t or ""))) for i, t in pairs(docs) for n, f in count.items())
+    assert Counter((x["doc_id"], x["tokenizer"], x["tokens"], x["revised"]) for x in counted.collect()) == want_rows
     r = rollups.Rollup(spark, shared_folder(spark))
     assert r.totals().count() == 0
-    assert r.commit("a", rollups.inserts(counted, "w")) and not r.commit("a", rollups.inserts(counted, "w"))
-    r.commit("b", rollups.deletes(counted.where("lang IS NULL"), "w"))
-    r.commit("c", rollups.revisions(counted.where("lang = 'en'").withColumn("old_tokens", F.col("tokens")).withColumn("tokens", F.lit(1)), "w"))
+    assert r.commit("a", rollups.inserts(counted)) and not r.commit("a", rollups.inserts(counted))
+    r.commit("b", rollups.deletes(counted.where("lang IS NULL")))
+    r.commit("c", rollups.revisions(counted.where("lang = 'en'")))
     want = {}
     for x in counted.collect():
         if x["lang"]:
-            k = (x["source"], x["lang"], "w")
-            n = want.setdefault(k, [0, 0])
+            n = want.setdefault((x["source"], x["lang"], x["tokenizer"]), [0, 0])
             n[0] += 1
-            n[1] += 1 if x["lang"] == "en" else x["tokens"]
+            n[1] += x["revised"] if x["lang"] == "en" else x["tokens"]
     check = lambda: {tuple(x)[:3]: list(x)[3:] for x in r.totals().collect()} == want
     assert check()
-    r.compact("one")
-    assert check() and not r.commit("b", rollups.deletes(counted, "w")) and check()
-    bpe = rollups.bpe_counts(docs).agg(F.sum("tokens")).first()[0]
-    assert bpe == sum(len(tokens.encoder().encode(t or "")) for _, t in pairs(docs))
+    assert r.compact() and check() and not r.commit("b", rollups.deletes(counted)) and check()
+    r.vacuum()
+    assert check()
+    # two writers of one batch: both have written, one has committed
+    one, two = rollups.Rollup(spark, r.folder), rollups.Rollup(spark, r.folder)
+    one.committed = two.committed = lambda batch: False
+    assert one.commit("d", rollups.inserts(counted)) and not two.commit("d", rollups.inserts(counted))
+    assert r.commit("e", rollups.deletes(counted)) and check()
+    # a batch that is committed while another compaction runs is counted once
+    state = r._state
+    r._state = lambda *a: (r.commit("f", rollups.inserts(counted)), state(*a))[1]
+    assert r.compact()
+    r._state = state
+    assert r.commit("g", rollups.deletes(counted)) and check() and r.compact() and check()
+    assert rollups.counts(empty).count() == 0
+    odd = docs.withColumnRenamed("h", "tokens").withColumnRenamed("row", "a.b")
+    assert rollups.counts(odd).count() == counted.count()
+
+
+def test_rollup_query(spark, sf, tmp_path):
+    for n in ("documents", "labels"):
+        spark.read.parquet(f"{sf}/{n}.parquet").limit(0).write.parquet(f"{tmp_path}/{n}.parquet")
+    assert rollups.op10_token_rollup(spark, str(tmp_path)).count() == 0
+    multi, enc = rollups._multi(), tokens.encoder().tokenizer
+    labels = {}
+    for x in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        labels.setdefault(x["doc_id"], []).append((x["toxic"], x["quality"]))
+    want = {}
+    for x in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        own = labels.get(x["doc_id"], [(0, 1)])
+        if max(t for t, _ in own) == 1:
+            continue
+        text = x["text"] or ""
+        poor = "".join(c for c in text if c not in rollups.JUNK) if min(q for _, q in own) == 0 else text
+        for name, n in (("byte_bpe_50k/1", len(enc.encode(poor, add_special_tokens=False).ids)), ("byte_bpe_multi_50k/1", multi(text))):
+            k = want.setdefault((x["source"], x["lang"], name), [0, 0])
+            k[0] += 1
+            k[1] += n
+    assert {tuple(x)[:3]: list(x)[3:] for x in rollups.op10_token_rollup(spark, sf).collect()} == want
+
+
+def test_names_and_identities(spark):
+    """Columns of any name, one doc_id with several texts, null doc_ids, repeated rows."""
+    rows = [(5, BASE, "a", 1, 1, 1), (5, LONG, "a", 2, 2, 2), (3, LONG, "b", 3, 3, 3), (9, BASE + " extra", "b", 4, 4, 4), (None, BASE, None, 5, 5, 5), (None, "", None, 6, 6, 6), (9, BASE + " extra", "b", 7, 7, 7), (None, "solo words here", None, 8, 8, 8)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, source string, _ int, `a.b` int, more int")
+    got = near_join.join(odd, 3, 90).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["n_links"]) for r in got) == sorted([(5, 5, 3), (5, 3, 1), (3, 3, 1), (9, 5, 3), (0, 5, 3), (0, 0, 0), (9, 5, 3), (0, 0, 0)])
+    kept = near_join.keep_one(odd)
+    assert kept.columns == odd.columns and sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(5, BASE), (3, LONG), (0, ""), (0, "solo words here")])
+    kept = chunk_dedup.keep_rows(odd)
+    assert kept.columns == odd.columns and sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(5, BASE), (5, LONG), (9, BASE + " extra"), (0, ""), (0, "solo words here")])
+    mixed, taken = mixing.keep_mix(odd), mixing.mix(odd).collect()
+    assert mixed.columns == odd.columns
+    words = lambda t: len(WORD.findall(t))
+    assert sum(words(r["text"]) for r in mixed.collect()) == sum(r["taken"] for r in taken) and len(taken) == len(rows)
+    folder = shared_folder(spark)
+    token_files.write_tokens(odd, folder)
+    read = token_files.read_tokens(spark, folder).orderBy("start").collect()
+    assert [r["doc_id"] for r in read] == [None, None, None, 3, 5, 5, 9, 9] and read[-1]["ids_crc32"] == read[-2]["ids_crc32"]
+    assert packing.pack_documents(odd).where("doc_id IS NULL").select("doc_tokens").distinct().count() == 3
+
+
+def test_special_strings_are_ids():
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tokens.vocabulary_path())
+    text = "a <|endoftext|> b<|endoftext|><|endoftext|>c d"
+    assert tokens.encoder().encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids
+    lib.encode_special_tokens = True
+    assert tokens.encoder(special=False).encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_grammar_folds_copies_and_runs():
+    passage = np.random.default_rng(2).integers(0, 60_000, 1500).astype(np.uint32)
+    copies = token_files.re_pair([(i, passage) for i in range(200)])
+    run = token_files.re_pair([(1, np.full(100_000, 7, np.uint32))])
+    assert len(copies.symbols) <= 400 and len(run.symbols) < 30
+    for s, d in ((copies, passage), (run, np.full(100_000, 7, np.uint32))):
+        assert all((g == d).all() for g in s.documents()) and (s.read(0, 500, 900) == d[500:1400]).all()
+    left = Counter()
+    for a, b in zip(run.symbols[:-1].tolist(), run.symbols[1:].tolist()):
+        left[a, b] += 1
+    assert max(left.values(), default=0) < 2 * token_files.LEAST
+
+
+def test_cuts_do_not_depend_on_the_horizon():
+    rng = np.random.default_rng(4)
+    ends = np.zeros(50, bool)
+    ends[:3] = True
+    docs = [(i, rng.integers(0, 50, rng.integers(1, 3000)).astype(np.uint32)) for i in range(120)]
+    got = [[(a, b, len(x), q, f) for a, b, x, _, q, f in packing.pack(iter(docs), ends, horizon=h)] for h in (4_000, 20_000, 1 << 30)]
+    assert got[0] == got[1] == got[2]
+
+
+def test_heap_merge():
+    rng = np.random.default_rng(6)
+    lists = [np.unique(rng.integers(0, 60, rng.integers(1, 25))).tolist() for _ in range(14)]
+    post = [d for one in lists for d in one]
+    ends = np.cumsum([len(one) for one in lists]).tolist()
+    for least in (1, 2, 4, 7):
+        times = Counter(d for d in post if d > 11)
+        got = dict(zip(*near_join.heap_merge(post, [0, *ends[:-1]], ends, 11, least), strict=True))
+        assert got == {d: n for d, n in times.items() if n >= least}
+
+
+def test_few_sources_come_near_their_target(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    for r in mixing.mix(d).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.max("size").alias("longest")).collect():
+        assert abs(r["taken"] - r["target"]) <= 0.1 * r["target"]
+    one = mixing.mix(d).collect()
+    assert sorted(map(str, one)) == sorted(map(str, mixing.mix(d.repartition(7)).collect()))
+
+
+def test_many_matches(spark):
+    text = " ".join(f"token=abcDEF{i:06d}Zz {i:020x}" for i in range(3000))
+    r = secrets.scan(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).first()
+    assert (r["n_assign"], r["n_hex"]) == (3000, 3000)
+
+
+def test_periodic_text(spark):
+    text = "ab cd " * 3000
+    rows = [(1, text), (2, "x" + text[:5000] + "y")]
+    got = sorted(tuple(r)[:5] for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(i, *r) for (i, _), r in zip(rows, removed([t for _, t in rows]), strict=True)]
+
+
+def test_foreign_text_is_rejected(spark, sf, docs, empty):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(d)
+    assert model.predict("Быстрая коричневая лиса прыгает через ленивую собаку")[2] and model.predict("日本語の文章はここにあります")[2]
+    assert langid.identify(empty, model).count() == 0
+    odd = docs.withColumnRenamed("row", "a.b").withColumnRenamed("h", "score")
+    assert langid.keep_identified(odd, model).columns == odd.columns
 
 
 def test_pipeline(spark, sf, empty):
