@@ -38,16 +38,20 @@ def clean_item_no(c: Column, fold: bool = False) -> Column:
     return squeeze(F.regexp_replace(F.regexp_replace(c, f"[{ZERO_WIDTH}]", ""), " ", " "))
 
 
+def _item_form(t: Column) -> Column:
+    """``12.0`` is ``12``, NaN is empty, upper case; of squeezed text."""
+    return F.upper(F.regexp_replace(F.regexp_replace(t, "(?i)^nan$", ""), r"^(\d+)\.0+$", "$1"))
+
+
 def normalize_item_no(c: Column) -> Column:
     """``12.0`` is ``12``; white space squeezed; upper case; null and NaN are empty."""
-    t = squeeze(F.coalesce(c.cast("string"), F.lit("")))
-    t = F.when(F.lower(t) == "nan", "").otherwise(t)
-    return F.upper(F.regexp_replace(t, r"^(\d+)\.0+$", "$1"))
+    return _item_form(squeeze(F.coalesce(c.cast("string"), F.lit(""))))
 
 
 def item_key(c: Column, fold: bool = False) -> Column:
-    """The key that input items and history meet on."""
-    return normalize_item_no(clean_item_no(c, fold))
+    """The key that input items and history meet on. Plain codes (nearly all) need no cleaning."""
+    t = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(t.rlike("^[!-~]+$"), _item_form(t)).otherwise(normalize_item_no(clean_item_no(c, fold)))
 
 
 def po_key(c: Column) -> Column:
@@ -77,10 +81,13 @@ def vendor_key(c: Column) -> Column:
 
 def vendor_key_local(c: Column) -> Column:
     """Vendor without company suffixes and anything but A-Z and 0-9."""
-    t = F.upper(F.trim(F.coalesce(c, F.lit(""))))
+    name = F.upper(F.trim(F.coalesce(c, F.lit(""))))
+    t = name
     for s in VENDOR_SUFFIXES:
         t = F.trim(F.regexp_replace(t, s.replace(".", r"\.") + "$", ""))
-    return F.regexp_replace(t, "[^A-Z0-9]", "")
+    # one look tells whether any suffix is there
+    some = "(?:" + "|".join(s.replace(".", r"\.") for s in VENDOR_SUFFIXES) + ")$"
+    return F.regexp_replace(F.when(name.rlike(some), t).otherwise(name), "[^A-Z0-9]", "")
 
 
 def plain_double(c: Column) -> Column:
@@ -108,13 +115,24 @@ def unit_cost_scalar(c: Column) -> Column:
     return F.coalesce(plain_double(t), plain_double(first), clean_numeric(s))
 
 
+def _written_date(s: Column) -> Column:
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)).cast("date") for f in ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "dd/MM/yyyy", "dd-MMM-yyyy")])
+
+
 def po_date(c: Column) -> Column:
-    """A date from an Excel serial or a written date; other bare numbers are null."""
+    """The column rule: a date from an Excel serial, a number or text, or a written date; other bare numbers are null."""
     s = F.trim(F.coalesce(c.cast("string"), F.lit("")))
     n = plain_double(s)
     serial = F.date_add(F.lit("1899-12-30").cast("date"), F.floor(n).cast("int"))
-    written = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)).cast("date") for f in ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "dd/MM/yyyy", "dd-MMM-yyyy")])
-    return F.when(n.isNotNull(), F.when(n.between(SERIAL_LOW, SERIAL_HIGH), serial)).otherwise(written)
+    return F.when(n.isNotNull(), F.when(n.between(SERIAL_LOW, SERIAL_HIGH), serial)).otherwise(_written_date(s))
+
+
+def po_date_cell(c: Column, kind: str = "string") -> Column:
+    """The cell rule: only a cell of a numeric type is an Excel serial; text is a written date or null."""
+    if kind in ("double", "float", "int", "bigint", "long"):
+        return po_date(c)
+    s = F.trim(F.coalesce(c.cast("string"), F.lit("")))
+    return F.when(plain_double(s).isNull(), _written_date(s))
 
 
 def po_date_iso(c: Column) -> Column:

@@ -77,19 +77,22 @@ def compare(lines: DataFrame, items: DataFrame, new_po: str, vendor: str, day: s
     """Each item (pos, item_no, description, unit, qty, new_unit_cost) against the benchmarks of its key.
 
     ``lines`` are keyed(). The overall benchmark gives the previous order, the
-    other vendors' one the lowest price, the same vendor's one its own last. The
-    three are one scan of the lines and one window each; Spark broadcasts the
-    items where they are few.
+    other vendors' one the lowest price, the same vendor's one its own last. All
+    come from one scan and one aggregation, whose partial results are a row an
+    item and task; Spark broadcasts the items where they are few.
     """
     rows = exclude_po(lines, new_po)
-    flavours = {"all": rows, "low": other_vendor(rows, vendor), "own": same_vendor(rows, vendor)}
-    out = items.withColumn("item_key", S.item_key(F.col("item_no"))).where("item_key <> ''")
-    for name, part in flavours.items():
-        b = window_fallback(part, day).select("item_key", *[F.col(c).alias(f"{name}_{c}") for c in ("unit_cost", "unit", "po_number", "po_order_date", "vendor", "project_name", "item_description")])
-        out = out.join(b, "item_key", "left")
-    w = F.struct("po_number", "line_no", "item_description")
-    described = rows.where(S.nullable_str(F.col("item_description")) != "").groupBy("item_key").agg(F.min(w).alias("d")).select("item_key", F.col("d.item_description").alias("any_description"))
-    out = out.join(described, "item_key", "left")
+    key, own = S.vendor_key(F.lit(vendor)), S.vendor_key(F.col("vendor"))
+    priced = F.col("unit_cost").isNotNull() & F.col("po_order_date").isNotNull()
+    inside = F.col("po_order_date") >= F.lit(day).cast("date")
+    told = ("unit_cost", "unit", "po_number", "po_order_date", "vendor", "project_name", "item_description")
+    # the order of window_fallback() as the order of a struct
+    line = F.struct(F.when(inside, 0).otherwise(1).alias("o"), F.when(inside, F.col("unit_cost")).alias("c"), (-F.unix_date("po_order_date")).alias("d"), F.struct(*TIE).alias("tie"), F.struct(*told).alias("x"))
+    flavours = {"all": priced, "low": priced & ((key == "") | (own != key)), "own": priced & (key != "") & (own == key)}
+    described = F.min(F.when(S.nullable_str(F.col("item_description")) != "", F.struct("po_number", "line_no", "item_description")))
+    best = rows.groupBy("item_key").agg(*[F.min(F.when(which, line)).alias(n) for n, which in flavours.items()], described.alias("described"))
+    best = best.select("item_key", *[F.col(f"{n}.x.{c}").alias(f"{n}_{c}") for n in flavours for c in told], F.col("described.item_description").alias("any_description"))
+    out = items.withColumn("item_key", S.item_key(F.col("item_no"))).where("item_key <> ''").join(best, "item_key", "left")
     low = F.col("low_unit_cost")
     qty = F.coalesce(F.col("qty"), F.lit(1.0))
     new = F.coalesce(F.col("new_unit_cost"), low)
@@ -100,7 +103,7 @@ def compare(lines: DataFrame, items: DataFrame, new_po: str, vendor: str, day: s
         "item_key",
         F.col("all_po_number").alias("previous_po_number"),
         F.lit(new_po).alias("new_po_number"),
-        F.lit(vendor).alias("ccapr_vendor"),
+        F.lit(vendor).alias("vendor_given"),
         S.final_description(F.col("description"), F.col("all_item_description"), F.col("any_description")).alias("description"),
         "unit",
         F.col("all_unit").alias("hist_unit_last_po"),

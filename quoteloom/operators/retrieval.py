@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF_K, SHORTLIST, PER_QUERY = 60, 50, 30
 #: Rows that a query block is compared with at once.
@@ -33,12 +35,17 @@ def bm25_index(docs: DataFrame, toks: Column) -> dict[str, DataFrame]:
     return {"postings": postings, "lengths": lengths, "terms": terms, "totals": n}
 
 
-def bm25_scores(index: dict[str, DataFrame], queries: DataFrame, digits: int = 6) -> DataFrame:
-    """queries (q, terms array; repeated terms count) -> q, doc, score of the documents that share a term."""
+def _parts(index: dict[str, DataFrame], queries: DataFrame) -> DataFrame:
+    """q, doc, part: what each term adds to a document's score."""
     q = queries.select("q", F.explode("terms").alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf"))
     hits = q.join(index["terms"], "term").join(index["postings"], "term").join(index["lengths"], "doc").crossJoin(F.broadcast(index["totals"]))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("q", "doc").agg(F.round(F.sum(part), digits).alias("score"))
+    return hits.select("q", "doc", part.alias("part"))
+
+
+def bm25_scores(index: dict[str, DataFrame], queries: DataFrame, digits: int = 6) -> DataFrame:
+    """queries (q, terms array; repeated terms count) -> q, doc, score of the documents that share a term."""
+    return _parts(index, queries).groupBy("q", "doc").agg(F.round(F.sum("part"), digits).alias("score"))
 
 
 def ranked(rows: DataFrame, by: str, *order: Column, name: str = "rank") -> DataFrame:
@@ -50,13 +57,35 @@ def bm25_topk(index: dict[str, DataFrame], queries: DataFrame, k: int = PER_QUER
     """The best k documents of each query; documents that score 0 fill up in order of doc.
 
     Only the k first documents can be needed for that, so the zeros are k rows a
-    query and not the corpus.
+    query and not the corpus; they join the sums as parts of 0, so scores are
+    made once.
     """
-    scores = bm25_scores(index, queries)
     fill = index["lengths"].orderBy("doc").limit(k + 1).select("doc")
-    zeros = queries.select("q").join(F.broadcast(fill)).join(scores.select("q", "doc"), ["q", "doc"], "left_anti").withColumn("score", F.lit(0.0))
-    positive = ranked(scores, "q", F.desc("score"), F.asc("doc"), name="r").where(F.col("r") <= k).drop("r")
-    return ranked(positive.unionByName(zeros), "q", F.desc("score"), F.asc("doc")).where(F.col("rank") <= k)
+    zeros = queries.select("q").join(F.broadcast(fill)).withColumn("part", F.lit(0.0))
+    scores = _parts(index, queries).unionByName(zeros).groupBy("q", "doc").agg(F.round(F.sum("part"), 6).alias("score"))
+    return ranked(scores, "q", F.desc("score"), F.asc("doc")).where(F.col("rank") <= k)
+
+
+def save_index(index: dict[str, DataFrame], folder: str, fingerprint: str) -> None:
+    """Writes an index for load_index(): the parts first, the mark that they are whole last."""
+    spark = index["postings"].sparkSession
+    for name, df in index.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{fingerprint}/{name}")
+    spark.range(1).write.mode("overwrite").parquet(f"{folder}/{fingerprint}/whole")
+
+
+def load_index(spark: SparkSession, folder: str, fingerprint: str) -> dict[str, DataFrame] | None:
+    """The index of a fingerprint; None if none was written whole."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{fingerprint}/whole/_SUCCESS")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return {n: spark.read.parquet(f"{folder}/{fingerprint}/{n}") for n in ("postings", "lengths", "terms", "totals")}
+
+
+def fingerprint(docs: DataFrame, *columns: str) -> str:
+    """A key of a table's content, whatever the order of its rows: its count and two sums of hashes."""
+    h = lambda seed: F.sum(F.shiftright(F.xxhash64(*columns, F.lit(seed)), 16))
+    return "-".join(str(v or 0) for v in docs.agg(F.count("*"), h(1), h(2)).first())
 
 
 def merge_max(hits: DataFrame, cap: int = SHORTLIST) -> DataFrame:
@@ -72,15 +101,28 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int = PER_QUERY, digits: int = 6) -> DataFrame:
-    """Exact neighbours: queries (q, vec), a stated set of few, against every row of corpus (doc, vec).
+def knn(queries: DataFrame, corpus: DataFrame, k: int = PER_QUERY, digits: int = 6, block: int = 50_000) -> DataFrame:
+    """Exact neighbours: queries (q, vec), a stated set, against every row of corpus (doc, vec).
 
-    The queries, whose number is checked, go to every task as a matrix; each
-    keeps its best k of what it scans, so k rows a query and task are shuffled.
+    The queries go to every task as a matrix, ``block`` of them in a pass over
+    the corpus, so any number of them has a bounded matrix; each task keeps its
+    best k of what it scans, so k rows a query, batch and task are shuffled.
     """
-    got = queries.select("q", "vec").limit(100_001).collect()
-    if len(got) > 100_000:
-        raise ValueError("too many queries for one pass; split them into blocks")
+    n = queries.count()
+    passes = max(1, -(-n // block))
+    if passes > 1:
+        part = cut(queries.select("q", "vec", F.pmod(F.xxhash64("q"), F.lit(passes)).alias("_pass")))
+        hits = [_nearest(part.where(F.col("_pass") == i), corpus, k, digits) for i in range(passes)]
+    else:
+        hits = [_nearest(queries, corpus, k, digits)]
+    every = hits[0]
+    for h in hits[1:]:
+        every = every.unionByName(h)
+    return ranked(every, "q", F.desc("sim"), F.asc("doc")).where(F.col("rank") <= k)
+
+
+def _nearest(queries: DataFrame, corpus: DataFrame, k: int, digits: int) -> DataFrame:
+    got = queries.select("q", "vec").where("vec IS NOT NULL").collect()
     ids = [r["q"] for r in got]
     names = np.array(ids)
     m = np.array([r["vec"] for r in got], np.float64).reshape(len(got), -1)
@@ -88,8 +130,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = PER_QUERY, digits: int =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf.dropna(subset=["vec"])
-            pdf = pdf.sort_values("doc")
+            pdf = pdf.dropna(subset=["vec"]).sort_values("doc")
             for at in range(0, len(pdf), BLOCK) if ids else ():
                 part = pdf.iloc[at : at + BLOCK]
                 x = np.stack(part["vec"].to_numpy()).astype(np.float64)
@@ -98,11 +139,15 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = PER_QUERY, digits: int =
                 docs = part["doc"].to_numpy()
                 for low in range(0, len(ids), BLOCK):
                     sim = np.round(np.clip(m[low : low + BLOCK] @ x, -1, 1), digits)
-                    best = np.argsort(-sim, axis=1, kind="stable")[:, :k]  # docs ascend, so ties do
-                    yield pd.DataFrame({"q": np.repeat(names[low : low + BLOCK], best.shape[1]), "doc": docs[best].ravel(), "sim": np.take_along_axis(sim, best, 1).ravel()})
-
-    hits = corpus.select("doc", "vec").mapInPandas(run, f"q {queries.schema['q'].dataType.simpleString()}, doc {corpus.schema['doc'].dataType.simpleString()}, sim double")
-    return ranked(hits, "q", F.desc("sim"), F.asc("doc")).where(F.col("rank") <= k)
+                    if sim.shape[1] > k:
+                        # all that reach the k-th best value: ties are settled by the ranking
+                        least = -np.partition(-sim, k - 1, axis=1)[:, k - 1 : k]
+                        q, d = np.nonzero(sim >= least)
+                    else:
+                        q, d = (v.ravel() for v in np.indices(sim.shape))
+                    yield pd.DataFrame({"q": names[low + q], "doc": docs[d], "sim": sim[q, d]})
+
+    return corpus.select("doc", "vec").mapInPandas(run, f"q {queries.schema['q'].dataType.simpleString()}, doc {corpus.schema['doc'].dataType.simpleString()}, sim double")
 
 
 def rrf(lexical: DataFrame, vector: DataFrame, cap: int = SHORTLIST, k: int = RRF_K) -> DataFrame:

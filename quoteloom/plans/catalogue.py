@@ -119,7 +119,7 @@ def _day(c: str) -> str:
 @query(
     f"""WITH {ERP_SQL}, {_ITEMS}, {_bench("a", "true")}, {_bench("l", f"upper(trim(vendor)) <> upper(trim({_VENDOR}))")}, {_bench("o", f"upper(trim(vendor)) = upper(trim({_VENDOR}))")},
 n AS (SELECT item_key, arg_min(item_description, (po_number, line_no, item_description)) AS any_description FROM erp WHERE trim(po_number) <> '1' AND trim(item_description) <> '' GROUP BY item_key)
-SELECT i.pos AS id, i.item_no, i.item_key, a.po_number AS previous_po_number, '1' AS new_po_number, {_VENDOR} AS ccapr_vendor,
+SELECT i.pos AS id, i.item_no, i.item_key, a.po_number AS previous_po_number, '1' AS new_po_number, {_VENDOR} AS vendor_given,
   coalesce(nullif(trim(i.description), ''), nullif(trim(a.item_description), ''), nullif(trim(n.any_description), ''), 'non') AS description,
   i.unit, a.unit AS hist_unit_last_po,
   CASE WHEN a.unit IS NULL THEN false ELSE 'PH' <> CASE WHEN replace(upper(a.unit), '.', '') = 'P/H' THEN 'PH' ELSE replace(upper(a.unit), '.', '') END END AS unit_mismatch,
@@ -282,9 +282,9 @@ def fmt_cell_num(spark, d):
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", S.fmt_cell_num(F.col("l_quantity")).alias("text"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 1000 THEN substring(text, 1, 1000) || ' [cut]' ELSE text END AS text FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) > 80000 THEN substring(text, 1, 80000) || ' [cut]' ELSE text END AS text FROM documents")
 def text_cap(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", S.cap_text(F.col("text"), 1000, " [cut]").alias("text"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", S.cap_text(F.col("text"), 80_000, " [cut]").alias("text"))
 
 
 _DESCS = ["non", "N/A", "na", "x", "--", " pump ", "TBD", "…", None, "valve 10 mm"]
@@ -510,11 +510,11 @@ def object_normalizer(spark, d):
     return n.select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int"), F.col("l_partkey").cast("long"), F.col("l_quantity").cast("double"), "l_returnflag", "suppkey")
 
 
-@query("SELECT l_suppkey AS line, substring('item' || chr(9) || 'qty' || chr(10) || string_agg(CAST(l_partkey AS VARCHAR) || chr(9) || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), chr(10) ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity), 1, 500) AS tsv FROM lineitem GROUP BY l_suppkey")
+@query("SELECT l_suppkey AS line, substring('item' || chr(9) || 'qty' || chr(10) || string_agg(CAST(l_partkey AS VARCHAR) || chr(9) || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), chr(10) ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity), 1, 120000) AS tsv FROM lineitem GROUP BY l_suppkey")
 def tsv_export(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet")
     rows = li.select(F.col("l_suppkey").alias("line"), F.col("l_partkey").alias("item"), F.col("l_quantity").cast("long").alias("qty"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").alias("rank"))
-    return erp.tsv_payload(rows, "line", ["item", "qty"], 500)
+    return erp.tsv_payload(rows, "line", ["item", "qty"])
 
 
 # --- retrieval

@@ -21,5 +21,12 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) ->
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The frame computed now and with no lineage, so that plans that read it in many places stay small."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+    """The frame computed now and with no lineage, so that plans that read it in many places stay small.
+
+    The checkpoint is in the folder that the cluster names; only where none is
+    set (one machine) in one below the warehouse.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
+    return df.checkpoint()
