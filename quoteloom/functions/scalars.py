@@ -49,9 +49,18 @@ def normalize_item_no(c: Column) -> Column:
 
 
 def item_key(c: Column, fold: bool = False) -> Column:
-    """The key that input items and history meet on. Plain codes (nearly all) need no cleaning."""
+    """The key that input items and history meet on: normalize_item_no() of clean_item_no(), in few steps so that generated code stays small."""
     t = F.coalesce(c.cast("string"), F.lit(""))
-    return F.when(t.rlike("^[!-~]+$"), _item_form(t)).otherwise(normalize_item_no(clean_item_no(c, fold)))
+    if fold:
+        return normalize_item_no(clean_item_no(c, True))
+    t = F.regexp_replace(t, rf"(?U)[{ZERO_WIDTH}]+|^[\s{ZERO_WIDTH}]+|[\s{ZERO_WIDTH}]+$", "")
+    return _item_form(F.regexp_replace(t, r"(?U)\s+", " "))
+
+
+def has_item_key(c: Column) -> Column:
+    """Whether item_key() isn't empty: what a filter below the joins looks at."""
+    t = F.coalesce(c.cast("string"), F.lit(""))
+    return t.rlike(rf"(?U)[^\s{ZERO_WIDTH}]") & ~t.rlike(rf"(?iU)^[\s{ZERO_WIDTH}]*n[{ZERO_WIDTH}]*a[{ZERO_WIDTH}]*n[\s{ZERO_WIDTH}]*$")
 
 
 def po_key(c: Column) -> Column:
@@ -81,13 +90,10 @@ def vendor_key(c: Column) -> Column:
 
 def vendor_key_local(c: Column) -> Column:
     """Vendor without company suffixes and anything but A-Z and 0-9."""
-    name = F.upper(F.trim(F.coalesce(c, F.lit(""))))
-    t = name
-    for s in VENDOR_SUFFIXES:
-        t = F.trim(F.regexp_replace(t, s.replace(".", r"\.") + "$", ""))
-    # one look tells whether any suffix is there
-    some = "(?:" + "|".join(s.replace(".", r"\.") for s in VENDOR_SUFFIXES) + ")$"
-    return F.regexp_replace(F.when(name.rlike(some), t).otherwise(name), "[^A-Z0-9]", "")
+    name = F.regexp_replace(F.upper(F.trim(F.coalesce(c, F.lit("")))), r"(?:\r\n|[\n\r\u0085\u2028\u2029])$", "")
+    suffixes = F.array(*[F.lit(x) for x in VENDOR_SUFFIXES])
+    cut = lambda t, x: F.when(F.endswith(t, x), F.trim(F.substring(t, F.lit(1), F.length(t) - F.length(x)))).otherwise(t)
+    return F.regexp_replace(F.aggregate(suffixes, name, cut), "[^A-Z0-9]", "")
 
 
 def plain_double(c: Column) -> Column:

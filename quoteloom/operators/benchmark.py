@@ -12,7 +12,7 @@ from ..sources.erp import TIE
 
 def keyed(lines: DataFrame) -> DataFrame:
     """Lines with item_key, without those that have none."""
-    return lines.withColumn("item_key", S.item_key(F.col("item_no"))).where("item_key <> ''")
+    return lines.where(S.has_item_key(F.col("item_no"))).withColumn("item_key", S.item_key(F.col("item_no")))
 
 
 def _first(lines: DataFrame, *order: Column) -> DataFrame:
@@ -68,7 +68,7 @@ def exclude_po(lines: DataFrame, po_number: str) -> DataFrame:
 
 def dedupe_items(items: DataFrame) -> DataFrame:
     """The first of the input items with the same key; items without key go. Items have pos."""
-    rows = items.withColumn("item_key", S.item_key(F.col("item_no"))).where("item_key <> ''")
+    rows = items.where(S.has_item_key(F.col("item_no"))).withColumn("item_key", S.item_key(F.col("item_no")))
     w = Window.partitionBy("item_key").orderBy("pos")
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
@@ -92,7 +92,7 @@ def compare(lines: DataFrame, items: DataFrame, new_po: str, vendor: str, day: s
     described = F.min(F.when(S.nullable_str(F.col("item_description")) != "", F.struct("po_number", "line_no", "item_description")))
     best = rows.groupBy("item_key").agg(*[F.min(F.when(which, line)).alias(n) for n, which in flavours.items()], described.alias("described"))
     best = best.select("item_key", *[F.col(f"{n}.x.{c}").alias(f"{n}_{c}") for n in flavours for c in told], F.col("described.item_description").alias("any_description"))
-    out = items.withColumn("item_key", S.item_key(F.col("item_no"))).where("item_key <> ''").join(best, "item_key", "left")
+    out = items.where(S.has_item_key(F.col("item_no"))).withColumn("item_key", S.item_key(F.col("item_no"))).join(best, "item_key", "left")
     low = F.col("low_unit_cost")
     qty = F.coalesce(F.col("qty"), F.lit(1.0))
     new = F.coalesce(F.col("new_unit_cost"), low)

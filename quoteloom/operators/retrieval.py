@@ -25,9 +25,10 @@ def bm25_index(docs: DataFrame, toks: Column) -> dict[str, DataFrame]:
     mean over all terms.
     """
     t = docs.select("doc", toks.alias("t"))
-    # kept, as the statistics and each search read them
-    lengths = t.select("doc", F.size("t").alias("dl")).persist()
+    # kept, as the statistics and each search read them; texts are tokenised once
     postings = t.select("doc", F.explode("t").alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf")).persist()
+    sums = postings.groupBy("doc").agg(F.sum("tf").alias("dl"))
+    lengths = docs.select("doc").join(sums, "doc", "left").select("doc", F.coalesce("dl", F.lit(0)).alias("dl")).persist()
     n = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     raw = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))

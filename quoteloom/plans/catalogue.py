@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import attributes as A
 from ..functions import responses
@@ -17,6 +18,7 @@ from ..operators import crossmatch as X
 from ..operators import rerank as R
 from ..operators import retrieval as V
 from ..operators import workframe as W
+from ..session import cut
 from ..sources import erp
 from ..sources.erp import ERP_SQL
 
@@ -589,6 +591,28 @@ def hybrid_membership(spark, d):
     return V.rrf(*_lists(spark, d)).groupBy("q", "source").agg(F.count("*").alias("n"))
 
 
+@query(
+    f"""WITH {_TOPK}, {_KNN.replace(", k AS (SELECT a.vec_id", ", n30 AS (SELECT a.vec_id")},
+f AS (SELECT coalesce(b.q, v.q // 20) AS line, doc, round(coalesce(1.0 / (60 + b.rank - 1), 0.0) + coalesce(1.0 / (60 + v.rank - 1), 0.0), 9) AS fused, b.score AS bm25, coalesce(v.sim, 0.0) AS cos, CASE WHEN b.rank IS NOT NULL AND v.rank IS NOT NULL THEN 'hybrid' WHEN b.rank IS NOT NULL THEN 'bm25' ELSE 'emb' END AS source
+      FROM k b FULL JOIN (SELECT q // 20 AS q, doc, sim, rank FROM n30) v USING (q, doc)),
+o AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY fused DESC, doc) AS ord FROM f QUALIFY ord <= 50),
+l AS (SELECT *, CASE WHEN max(bm25) OVER (PARTITION BY line) > 0 THEN round(coalesce(bm25, 0.0) / max(bm25) OVER (PARTITION BY line), 2) ELSE 0.0 END AS lex FROM o),
+h AS (SELECT line, doc, source, round(0.5 * lex + 0.5 * greatest(0.0, cos), 6) AS score, row_number() OVER (PARTITION BY line ORDER BY round(0.5 * lex + 0.5 * greatest(0.0, cos), 6) DESC, ord, doc) AS rank FROM l)
+SELECT line, doc, source, round(score, 3) AS score, rank FROM h WHERE rank <= 10""".replace("v.q // 20", "v.q")
+)
+def hybrid_candidates(spark, d):
+    """BM25 over documents and neighbours over embeddings, fused by rank and reranked by both scores; a line is a benchmark text and every twentieth vector."""
+    by_term = V.bm25_topk(V.bm25_index(_docs(spark, d), T.tokens(F.col("text"))), _asked(spark, d))
+    v = _vectors(spark, d, "q")
+    by_vector = V.knn(v.where("q % 20 = 0"), _vectors(spark, d, "doc")).withColumn("q", F.floor(F.col("q") / 20).cast("long"))
+    by_term, by_vector = cut(by_term), cut(by_vector)
+    fused = V.rrf(by_term.select("q", "doc", "rank"), by_vector.select("q", "doc", "rank")).select("q", "doc", "source", F.col("rank").alias("ord"))
+    told = fused.join(by_term.select("q", "doc", F.col("score").alias("bm25")), ["q", "doc"], "left").join(by_vector.select("q", "doc", F.col("sim").alias("cos")), ["q", "doc"], "left")
+    top = F.max("bm25").over(Window.partitionBy("q"))
+    told = told.withColumn("lex", F.when(top > 0, F.round(F.coalesce("bm25", F.lit(0.0)) / top, 2)).otherwise(0.0)).withColumn("penalty", F.lit(0.0)).withColumnRenamed("q", "line")
+    return R.hybrid(told).select("line", "doc", "source", F.round("score", 3).alias("score"), "rank")
+
+
 @query(f"SELECT q, p_partkey AS doc, max(sim) AS sim FROM (SELECT n_nationkey AS q, {_CANON.format('p_name')} AS c, (length(p_name) % 10 + n_nationkey) / 100.0 AS sim FROM part, nation WHERE n_nationkey < 3) JOIN part ON c = {_CANON.format('p_name')} GROUP BY 1, 2")
 def expand_hits(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", T.canonical(F.col("p_name")).alias("canonical_desc"), F.length("p_name").alias("n"))
@@ -764,7 +788,7 @@ def llm_match_extraction(spark, d):
     return m.agg(F.count("*").alias("n"), F.sum(F.col("unit_cost").cast("double") * 2).cast("long").alias("twice"))
 
 
-@query()
+@query(f"WITH {_SIDES} SELECT CAST(item_key AS BIGINT) AS line, 'X' || item_no AS ref_item_no, CAST(NULL AS VARCHAR) AS ref_item_description, CAST(item_key AS BIGINT) * 1.5::DOUBLE AS ref_unit_cost, CAST(NULL AS VARCHAR) AS ref_unit, CASE WHEN CAST(item_key AS BIGINT) % 4 = 1 THEN 'Ref. desc match' ELSE 'Ref. desc match (review)' END AS ref_po_number, CAST(NULL AS DATE) AS ref_po_order_date, 'V' AS ref_vendor, CAST(NULL AS VARCHAR) AS ref_project_name, 'ai_tagged' AS provenance, 80.0::DOUBLE AS confidence FROM i WHERE CAST(item_key AS BIGINT) % 2 = 1")
 def apply_matches(spark, d):
     return X.apply_matches(_asking(spark, d), _answers(spark, d).select(F.inline(responses.parse_matches("answer"))))
 
@@ -777,12 +801,26 @@ def _pool(spark, d) -> DataFrame:
     return a.join(w.select("doc", "item_no", "item_description", "unit_cost", "unit", "po_number", "po_order_date", "vendor", "project_name", key("item_description").alias("k"), F.regexp_extract("item_description", r"(\d+) mm", 1).alias("z")), ["k", "z"]).drop("k", "z")
 
 
-@query()
+_TS = _tokens_sql("item_description")
+_WORDS = "split_part(item_description, ' ', 1) || ' ' || split_part(item_description, ' ', 2)"
+_KEPT = f"list_distinct(list_filter(t, lambda x: length(x) >= 3)) AS t3, list_distinct(list_filter(t, lambda x: length(x) >= 4)) AS t4, {_WORDS} AS k, regexp_extract(item_description, '(\\d+) mm', 1) AS z".replace("\\\\", "\\")
+_BEST = f"""x AS (SELECT *, {_TS} AS t FROM i), y AS (SELECT *, {_TS} AS t FROM m),
+a AS (SELECT CAST(item_key AS BIGINT) AS line, {_KEPT} FROM x), c AS (SELECT *, CAST(item_key AS BIGINT) AS doc, {_KEPT} FROM y),
+u AS (SELECT a.line, c.*, CASE WHEN len(list_distinct(list_concat(a.t3, c.t3))) > 0 THEN len(list_intersect(a.t3, c.t3)) / len(list_distinct(list_concat(a.t3, c.t3))) ELSE 0.0 END AS j, CASE WHEN len(a.t4) > 0 THEN len(list_intersect(a.t4, c.t4)) / len(a.t4) ELSE 0.0 END AS cov FROM a JOIN c ON a.k = c.k AND a.z = c.z),
+s AS (SELECT *, round(least(1.0, greatest(0.0, 0.58 * j + (1 - 0.58 * j) * cov * 0.68)), 6) AS sim FROM u),
+best AS (SELECT line, item_no AS ref_item_no, item_description AS ref_item_description, unit_cost AS ref_unit_cost, unit AS ref_unit, po_number AS ref_po_number, po_order_date AS ref_po_order_date, vendor AS ref_vendor, project_name AS ref_project_name, sim FROM s WHERE unit_cost IS NOT NULL QUALIFY row_number() OVER (PARTITION BY line ORDER BY sim DESC, doc) = 1)"""
+
+
+def _best_sql(floor: float, provenance: str) -> str:
+    return f"WITH {_SIDES}, {_BEST} SELECT * EXCLUDE (sim), '{provenance}' AS provenance, round(sim * 100, 1) AS confidence FROM best WHERE sim >= {floor}"
+
+
+@query(_best_sql(0.22, "lexical_fallback"))
 def lexical_fallback(spark, d):
     return X.lexical_best(_asking(spark, d), _pool(spark, d), score=T.token_score)
 
 
-@query()
+@query(_best_sql(0.0, "rematch_lexical"))
 def rematch_polish(spark, d):
     return X.lexical_best(_asking(spark, d), _pool(spark, d), floor=0.0, score=T.token_score, provenance="rematch_lexical")
 
