@@ -141,10 +141,7 @@ class Encoder:
         got = list(map(self.known.get, words))
         if None not in got:
             return b"".join(got)
-        missing, i = [], -1
-        for _ in range(got.count(None)):
-            i = got.index(None, i + 1)
-            missing.append(i)
+        missing = [i for i, ids in enumerate(got) if ids is None]
         if self._learn(list(dict.fromkeys([words[i] for i in missing]))):
             for i in missing:
                 got[i] = self.known[words[i]]
