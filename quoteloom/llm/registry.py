@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chunk_dedup, langid, mixing, near_join, packing, quality, rollups, secrets, suffix_dedup, token_files
+from . import chunk_dedup, langid, mixing, near_join, packing, quality, rollups, secrets, suffix_dedup, token_files, wavelet_search
 
 QUERIES: dict[str, Callable] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -17,8 +17,10 @@ QUERIES: dict[str, Callable] = {
     "op8_mixing": mixing.op8_mixing,
     "op9_language_id": langid.op9_language_id,
     "op10_token_rollup": rollups.op10_token_rollup,
+    "op11_lexical_search": wavelet_search.op11_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": chunk_dedup.ORACLE,
+    "op11_lexical_search": wavelet_search.ORACLE,
 }
