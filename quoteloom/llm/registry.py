@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chunk_dedup, langid, mixing, near_join, packing, quality, rollups, secrets, suffix_dedup, token_files, wavelet_search
+from . import chunk_dedup, langid, mixing, near_join, packing, pii, quality, rollups, secrets, suffix_dedup, token_files, wavelet_search, whitening
 
 QUERIES: dict[str, Callable] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -18,6 +18,8 @@ QUERIES: dict[str, Callable] = {
     "op9_language_id": langid.op9_language_id,
     "op10_token_rollup": rollups.op10_token_rollup,
     "op11_lexical_search": wavelet_search.op11_lexical_search,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_personal_data": pii.op13_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -76,6 +76,17 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+def runs(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of member bytes in concatenated texts; none crosses an offset."""
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = member[data]
+    cuts = offsets[(offsets > 0) & (offsets < len(data))]
+    opens, closes = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
+    opens[cuts] = inside[cuts + 1]
+    closes[cuts] = inside[cuts]
+    return np.flatnonzero(opens), np.flatnonzero(closes)
+
+
 def word_hashes(raw: bytes, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+``, in order."""
     if lower:

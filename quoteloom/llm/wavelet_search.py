@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import documents, release, stored
-from .textkit import mix64, powers
+from .textkit import mix64, powers, runs
 
 #: A shard is closed when its texts have so many bytes. A longer text is a shard of its own.
 SHARD_BYTES = 6 << 20
@@ -35,14 +35,8 @@ SHARD = "n_docs int, seed int, doc_ids binary, hashes binary, ends binary, words
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the terms of concatenated texts; none crosses an offset."""
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = _IN[data]
-    cuts = offsets[(offsets > 0) & (offsets < len(data))]
-    opens, closes = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
-    opens[cuts] = inside[cuts + 1]
-    closes[cuts] = inside[cuts]
-    return np.flatnonzero(opens), np.flatnonzero(closes)
+    """Starts and ends of the terms of concatenated texts."""
+    return runs(data, offsets, _IN)
 
 
 def _table(seed: int) -> np.ndarray:
