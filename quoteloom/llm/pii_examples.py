@@ -28,15 +28,15 @@ de la [phone (743) 555-3824] les
 und der [phone 310-555-4510] ist
 el [phone 663-555-6869] para
 in the [phone 800-555-0131] are
-write to [email jane dot doe at example dot org] please
 mail [email john(at)example.org] today
+write to [email jane.doe(at)example.org] please
 email: [email anna.weber [at] example [dot] de]
 E-Mail: [email k.meier(at)beispiel.de]
-contact [email sales at example dot com] for prices
+contact [email sales(at)example.com] for prices
 courriel: [email luc.moreau(arobase)exemple.fr]
 correo: [email ana.lopez(arroba)ejemplo.es]
 reach me under [email tom_b{at}mail.example.net]
-e-mail [email peter AT example DOT com]
+e-mail [email peter(AT)example.com]
 send it to [email m.klein[at]example.com] soon
 the of [email bob(at)mail.example.com] ining
 Dear Mr. [name John Smith], thank you
@@ -117,6 +117,8 @@ La, La, La, La, La, La, La, La, La,
 Des. Des. Des. Des. Des.
 Sur, Sur, Sur, Sur, Sur, Sur, Sur, Sur, Sur, Sur, Sur, Sur,
 So So So So So So So So
+q q q q q q q q q q q q q q q q
+987 q q q q q q q q
 Two Three Four Five Six Seven
 1 2 3 4 5 6 7 8 9
 12 345 678 people

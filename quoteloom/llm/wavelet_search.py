@@ -244,8 +244,9 @@ class Asked:
     def hashed(self, seed: int) -> np.ndarray:
         """The terms' hashes in shards of a seed."""
         if seed not in self._hashed:
-            data, ends = np.frombuffer(b"".join(self.terms), np.uint8), np.cumsum([len(t) for t in self.terms])
-            self._hashed[seed] = hashes(data, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64), seed)
+            sizes = np.array([len(t) for t in self.terms], np.int64)
+            ends = np.cumsum(sizes)
+            self._hashed[seed] = hashes(np.frombuffer(b"".join(self.terms), np.uint8), ends - sizes, ends, seed)
         return self._hashed[seed]
 
 
