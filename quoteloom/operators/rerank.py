@@ -63,24 +63,25 @@ def cross_encoder(cands: DataFrame, scorer: Scorer | None, n: int | None = TOP_N
     return out.withColumn("abstain", top < abstain)
 
 
-def rerank(cands: DataFrame, scorer: Scorer | None = None, cap: int = TOP_N, excluded: DataFrame | None = None) -> DataFrame:
+def rerank(cands: DataFrame, scorer: Scorer | None = None, cap: int = TOP_N, excluded: DataFrame | None = None, weight: float = LEXICAL_WEIGHT) -> DataFrame:
     """hybrid(), but the pair scorer over all candidates of the lines that it isn't sure of; the best ``cap`` a line.
 
     pool_size() candidates are ranked before the excluded items (line, item_key;
-    cands have item_key then) go and the cap cuts.
+    cands have item_key then) go and the cap cuts. by_model tells whether the
+    pair scorer gave the score; weight is that of the lexical score.
     """
-    first = hybrid(cands, None).withColumn("abstain", F.lit(False))
+    first = hybrid(cands, None, weight).withColumn("abstain", F.lit(False)).withColumn("by_model", F.lit(False))
     if scorer is not None:
         sure = skip_model(F.col("top1"), F.col("margin"))
         open_ = first.where(~sure & (F.col("rank") == 1)).select("line")
-        second = cross_encoder(cands.join(open_, "line", "left_semi"), scorer, None)
+        second = cross_encoder(cands.join(open_, "line", "left_semi"), scorer, None).withColumn("by_model", F.lit(True))
         keep = second.columns
         first = first.where(sure).select(*keep).unionByName(second)
     n = F.count("*").over(Window.partitionBy("line"))
     pool = first.withColumn("_n", n).where(F.col("rank") <= pool_size(F.col("_n"), cap, excluded is not None))
     if excluded is not None:
         pool = exclude(pool, excluded, cap)
-    return pool.where(F.col("rank") <= cap).select("line", "doc", "score", "rank", "abstain")
+    return pool.where(F.col("rank") <= cap).select("line", "doc", "score", "rank", "abstain", "by_model")
 
 
 def exclude(rows: DataFrame, excluded: DataFrame, cap: int) -> DataFrame:

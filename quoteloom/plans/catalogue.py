@@ -21,6 +21,8 @@ from ..operators import workframe as W
 from ..session import cut
 from ..sources import erp
 from ..sources.erp import ERP_SQL
+from ..stores.snapshots import SnapshotTable
+from ..streaming import index_delta as index_stream
 
 AS_OF, CUTOFF = "2003-06-01", "2001-06-01"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -624,19 +626,24 @@ def _wanted(spark, d) -> DataFrame:
     return erp.erp_lines(spark, d).select("company_tab", T.canonical(F.col("item_description")).alias("canonical_desc"))
 
 
-_WANTED = f"w AS (SELECT DISTINCT company_tab, {_CANON.format('item_description')} AS canonical_desc FROM erp), i AS (SELECT * FROM w WHERE length(canonical_desc) % 2 = 0)"
+_WANTED = f"w AS (SELECT DISTINCT company_tab, {_CANON.format('item_description')} AS canonical_desc FROM erp), i AS (SELECT DISTINCT company_tab, {_CANON.format('item_description')} AS canonical_desc FROM erp WHERE po_order_date < DATE '{CUTOFF}')"
 
 
-@query(f"WITH {ERP_SQL}, {_WANTED} SELECT company_tab, canonical_desc FROM w WHERE canonical_desc <> '' AND length(canonical_desc) % 2 = 1")
+def _indexed(spark, d) -> DataFrame:
+    """The snapshot of an index that was made of the lines before CUTOFF."""
+    index = SnapshotTable.fresh(spark, index_stream.SCHEMA, index_stream.KEYS)
+    index_stream.extend(erp.erp_lines(spark, d).where(F.col("po_order_date") < CUTOFF), index)
+    return index.read(index.version())
+
+
+@query(f"WITH {ERP_SQL}, {_WANTED} SELECT company_tab, canonical_desc FROM w WHERE canonical_desc <> '' EXCEPT SELECT company_tab, canonical_desc FROM i")
 def index_delta(spark, d):
-    w = _wanted(spark, d)
-    return V.missing_descriptions(w, w.where(F.length("canonical_desc") % 2 == 0).distinct())
+    return V.missing_descriptions(_wanted(spark, d), _indexed(spark, d))
 
 
-@query(f"WITH {ERP_SQL}, {_WANTED} SELECT company_tab, count(*) AS registry_size, count(*) FILTER (length(canonical_desc) % 2 = 0) AS index_size, count(*) FILTER (length(canonical_desc) % 2 = 0) >= floor(count(*) * 0.99) AS ready FROM w GROUP BY company_tab")
+@query(f"WITH {ERP_SQL}, {_WANTED}, r AS (SELECT company_tab, count(*) AS registry_size FROM w GROUP BY company_tab), j AS (SELECT company_tab, count(*) AS index_size FROM i GROUP BY company_tab) SELECT company_tab, registry_size, coalesce(index_size, 0) AS index_size, coalesce(index_size, 0) >= floor(registry_size * 0.99) AS ready FROM r LEFT JOIN j USING (company_tab)")
 def index_status(spark, d):
-    w = _wanted(spark, d).distinct()
-    return V.index_status(w, w.where(F.length("canonical_desc") % 2 == 0))
+    return V.index_status(_wanted(spark, d).distinct(), _indexed(spark, d))
 
 
 @query()
@@ -793,22 +800,13 @@ def apply_matches(spark, d):
     return X.apply_matches(_asking(spark, d), _answers(spark, d).select(F.inline(responses.parse_matches("answer"))))
 
 
-def _pool(spark, d) -> DataFrame:
-    """Candidates of a line: the MBL items of its own description's first two words and size."""
-    w = _work(spark, d, "MBL")
-    key = lambda c: F.substring_index(c, " ", 2)
-    a = _asking(spark, d).select("line", key("description").alias("k"), F.regexp_extract("description", r"(\d+) mm", 1).alias("z"))
-    return a.join(w.select("doc", "item_no", "item_description", "unit_cost", "unit", "po_number", "po_order_date", "vendor", "project_name", key("item_description").alias("k"), F.regexp_extract("item_description", r"(\d+) mm", 1).alias("z")), ["k", "z"]).drop("k", "z")
-
-
 _TS = _tokens_sql("item_description")
-_WORDS = "split_part(item_description, ' ', 1) || ' ' || split_part(item_description, ' ', 2)"
-_KEPT = f"list_distinct(list_filter(t, lambda x: length(x) >= 3)) AS t3, list_distinct(list_filter(t, lambda x: length(x) >= 4)) AS t4, {_WORDS} AS k, regexp_extract(item_description, '(\\d+) mm', 1) AS z".replace("\\\\", "\\")
+_KEPT = "list_distinct(list_filter(t, lambda x: length(x) >= 3)) AS t3, list_distinct(list_filter(t, lambda x: length(x) >= 4)) AS t4"
 _BEST = f"""x AS (SELECT *, {_TS} AS t FROM i), y AS (SELECT *, {_TS} AS t FROM m),
 a AS (SELECT CAST(item_key AS BIGINT) AS line, {_KEPT} FROM x), c AS (SELECT *, CAST(item_key AS BIGINT) AS doc, {_KEPT} FROM y),
-u AS (SELECT a.line, c.*, CASE WHEN len(list_distinct(list_concat(a.t3, c.t3))) > 0 THEN len(list_intersect(a.t3, c.t3)) / len(list_distinct(list_concat(a.t3, c.t3))) ELSE 0.0 END AS j, CASE WHEN len(a.t4) > 0 THEN len(list_intersect(a.t4, c.t4)) / len(a.t4) ELSE 0.0 END AS cov FROM a JOIN c ON a.k = c.k AND a.z = c.z),
+u AS (SELECT a.line, c.*, CASE WHEN len(list_distinct(list_concat(a.t3, c.t3))) > 0 THEN len(list_intersect(a.t3, c.t3)) / len(list_distinct(list_concat(a.t3, c.t3))) ELSE 0.0 END AS j, CASE WHEN len(a.t4) > 0 THEN len(list_intersect(a.t4, c.t4)) / len(a.t4) ELSE 0.0 END AS cov FROM a JOIN c ON c.unit_cost IS NOT NULL AND list_has_any(a.t3, c.t3)),
 s AS (SELECT *, round(least(1.0, greatest(0.0, 0.58 * j + (1 - 0.58 * j) * cov * 0.68)), 6) AS sim FROM u),
-best AS (SELECT line, item_no AS ref_item_no, item_description AS ref_item_description, unit_cost AS ref_unit_cost, unit AS ref_unit, po_number AS ref_po_number, po_order_date AS ref_po_order_date, vendor AS ref_vendor, project_name AS ref_project_name, sim FROM s WHERE unit_cost IS NOT NULL QUALIFY row_number() OVER (PARTITION BY line ORDER BY sim DESC, doc) = 1)"""
+best AS (SELECT line, item_no AS ref_item_no, item_description AS ref_item_description, unit_cost AS ref_unit_cost, unit AS ref_unit, po_number AS ref_po_number, po_order_date AS ref_po_order_date, vendor AS ref_vendor, project_name AS ref_project_name, sim FROM s QUALIFY row_number() OVER (PARTITION BY line ORDER BY sim DESC, doc) = 1)"""
 
 
 def _best_sql(floor: float, provenance: str) -> str:
@@ -817,22 +815,39 @@ def _best_sql(floor: float, provenance: str) -> str:
 
 @query(_best_sql(0.22, "lexical_fallback"))
 def lexical_fallback(spark, d):
-    return X.lexical_best(_asking(spark, d), _pool(spark, d), score=T.token_score)
+    """The last resort: for each line the best of all the other company's rows, by the bounded join."""
+    return X.lexical_anywhere(_asking(spark, d), _work(spark, d, "MBL"), score=T.token_score)
 
 
 @query(_best_sql(0.0, "rematch_lexical"))
 def rematch_polish(spark, d):
-    return X.lexical_best(_asking(spark, d), _pool(spark, d), floor=0.0, score=T.token_score, provenance="rematch_lexical")
+    """The most similar candidate of each line; candidates are those that BM25 finds."""
+    asking = cut(_asking(spark, d))
+    return X.lexical_best(asking, X.candidates(asking, cut(_work(spark, d, "MBL")), score=T.token_score, embed=None), floor=0.0, score=T.token_score, provenance="rematch_lexical")
 
 
-@query()
-def audit_struct(spark, d):
-    rows = _asking(spark, d).join(X.lexical_best(_asking(spark, d), _pool(spark, d), score=T.token_score), "line", "left")
-    out = X.audit(X.reconcile(rows, T.token_score))
-    return out.select("line", F.to_json("audit").alias("audit"))
+def _matched(spark, d) -> DataFrame:
+    return X.match(_asking(spark, d), _work(spark, d, "MBL"), _answers(spark, d, F.col("line") % 3 != 0), T.token_score, embed=None)
 
 
-@query()
+#: A line with a code that MBL has takes its row; of the others a model has priced two in three, and the best row of all by token score is what those and the rest stand for.
+_E2E = f"""WITH {_SIDES}, {_BEST}, l AS (SELECT CAST(item_key AS BIGINT) AS line, CASE WHEN CAST(item_key AS BIGINT) % 2 = 1 THEN 'X' ELSE '' END || item_no AS item_no, item_description FROM i),
+e AS (SELECT l.line, m.item_no AS ref_item_no, m.item_description AS ref_desc, m.unit_cost AS ref_unit_cost, m.po_order_date, m.vendor FROM l JOIN m ON CAST(m.item_key AS BIGINT) = l.line WHERE l.line % 2 = 0),
+o AS (SELECT l.line, l.item_no, e.line IS NOT NULL AS exact, l.line % 2 = 1 AND l.line % 3 <> 0 AS told, e.ref_item_no AS e_no, e.ref_unit_cost AS e_cost, e.po_order_date AS e_date, b.* EXCLUDE (line) FROM l LEFT JOIN e USING (line) LEFT JOIN best b ON b.line = l.line AND b.sim >= 0.22),
+p AS (SELECT *, CASE WHEN exact THEN 'exact_code' WHEN told THEN 'ai_tagged' WHEN sim IS NOT NULL THEN 'lexical_fallback' END AS provenance, round(sim * 100, 1) AS lex FROM o)
+"""
+
+
+@query(
+    f"""{_E2E} SELECT line, item_no, provenance IS NOT NULL AS matched, provenance, CASE WHEN exact THEN e_no ELSE ref_item_no END AS ref_item_no, CASE WHEN exact THEN e_cost WHEN told THEN line * 1.5::DOUBLE ELSE ref_unit_cost END AS ref_unit_cost,
+CASE WHEN exact THEN e_date ELSE ref_po_order_date END AS ref_po_order_date, CASE WHEN exact THEN 100.0 WHEN told THEN round(least(100.0, 0.55 * lex + 0.45 * 80.0), 1) ELSE lex END::DOUBLE AS confidence, 'cross' AS compare_kind, CASE WHEN provenance IS NULL THEN '' ELSE 'MBL' END AS benchmark_erp_tab FROM p"""
+)
 def cross_match_e2e(spark, d):
-    out = X.match(_asking(spark, d), _work(spark, d, "MBL"), _answers(spark, d, F.col("line") % 3 != 0), T.token_score)
-    return out.select("line", "item_no", "matched", "provenance", "ref_item_no", "ref_unit_cost", "confidence", "compare_kind")
+    return _matched(spark, d).select("line", "item_no", "matched", "provenance", "ref_item_no", "ref_unit_cost", "ref_po_order_date", "confidence", "compare_kind", "benchmark_erp_tab")
+
+
+@query(f"{_E2E} SELECT line, provenance AS match_provenance, CASE WHEN exact THEN 100.0 WHEN told THEN round(least(100.0, 0.55 * lex + 0.45 * 80.0), 1) ELSE lex END::DOUBLE AS confidence, CASE WHEN NOT exact THEN lex END::DOUBLE AS lexical, CASE WHEN told THEN 80.0 END::DOUBLE AS ai, CASE WHEN told THEN ref_item_no END AS ai_picked_item_no FROM p")
+def audit_struct(spark, d):
+    a = _matched(spark, d).select("line", "audit.*")
+    lexical = F.when(F.col("match_provenance") != "exact_code", F.col("cross_search_lexical_confidence_pct"))
+    return a.select("line", "match_provenance", F.col("cross_search_confidence_pct").alias("confidence"), lexical.alias("lexical"), F.col("cross_search_ai_confidence_pct").alias("ai"), "ai_picked_item_no")

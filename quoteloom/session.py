@@ -20,6 +20,12 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) ->
     return b.getOrCreate()
 
 
+def base_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names for checkpoints; only where none is set (one machine) one below the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    return base.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The frame computed now and with no lineage, so that plans that read it in many places stay small.
 

@@ -2,34 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as T
-from ..operators.retrieval import hash_embed, missing_descriptions
+from ..operators.retrieval import hash_embed
+from ..stores.snapshots import SnapshotTable
 
 SCHEMA = "company_tab string, canonical_desc string, vec array<double>"
+KEYS = ("company_tab", "canonical_desc")
 
 
-def extend(lines: DataFrame, index_path: str) -> int:
-    """Embeds and appends the descriptions of lines that the index lacks; returns how many. What is there is never rewritten."""
-    spark = lines.sparkSession
-    try:
-        known = spark.read.schema(SCHEMA).parquet(index_path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        known = spark.createDataFrame([], SCHEMA)
-    wanted = lines.select("company_tab", T.canonical(F.col("item_description")).alias("canonical_desc"))
-    new = missing_descriptions(wanted, known).withColumn("vec", hash_embed(T.tokens(F.col("canonical_desc")))).persist()
-    n = new.count()
-    if n:
-        new.write.mode("append").parquet(index_path)
-    new.unpersist()
-    return n
+def index_table(spark: SparkSession, index_path: str) -> SnapshotTable:
+    """The index as a table of snapshots."""
+    return SnapshotTable(spark, index_path, SCHEMA, KEYS)
+
+
+def extend(lines: DataFrame, index: SnapshotTable) -> int:
+    """Embeds and adds the descriptions of lines that the index lacks; returns how many. What is there is never rewritten, and of two writers none adds a row twice."""
+    wanted = lines.select("company_tab", T.canonical(F.col("item_description")).alias("canonical_desc")).where("canonical_desc <> ''").distinct()
+    at = index.version()
+    return index.append(index.missing(wanted, at).withColumn("vec", hash_embed(T.tokens(F.col("canonical_desc")))), at)
 
 
 def follow(stream: DataFrame, index_path: str, checkpoint: str) -> StreamingQuery:
     """Applies extend() to each micro-batch that is there, then stops; a batch that comes twice adds nothing."""
-    return stream.writeStream.foreachBatch(lambda df, _: extend(df, index_path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    add = lambda df, _: extend(df, index_table(df.sparkSession, index_path))
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -112,7 +112,7 @@ def test_index_follows_a_stream(spark, sf, tmp_path):
     want = e.select("company_tab", T.canonical(F.col("item_description"))).distinct().count()
     for k in range(2):
         index_delta.follow(spark.readStream.schema(e.schema).parquet(src), index, str(tmp_path / f"c{k}")).awaitTermination()
-        assert spark.read.parquet(index).count() == want
+        assert index_delta.index_table(spark, index).read().count() == want
 
 
 def test_candidates_use_attributes_and_vectors(spark):
