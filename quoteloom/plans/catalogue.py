@@ -25,6 +25,8 @@ from ..stores.snapshots import SnapshotTable
 from ..streaming import index_delta as index_stream
 
 AS_OF, CUTOFF = "2003-06-01", "2001-06-01"
+#: Lines before this day are in the index of index_delta and index_status.
+INDEXED_BEFORE = "1995-03-01"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -626,13 +628,13 @@ def _wanted(spark, d) -> DataFrame:
     return erp.erp_lines(spark, d).select("company_tab", T.canonical(F.col("item_description")).alias("canonical_desc"))
 
 
-_WANTED = f"w AS (SELECT DISTINCT company_tab, {_CANON.format('item_description')} AS canonical_desc FROM erp), i AS (SELECT DISTINCT company_tab, {_CANON.format('item_description')} AS canonical_desc FROM erp WHERE po_order_date < DATE '{CUTOFF}')"
+_WANTED = f"w AS (SELECT DISTINCT company_tab, {_CANON.format('item_description')} AS canonical_desc FROM erp), i AS (SELECT DISTINCT company_tab, {_CANON.format('item_description')} AS canonical_desc FROM erp WHERE po_order_date < DATE '{INDEXED_BEFORE}')"
 
 
 def _indexed(spark, d) -> DataFrame:
-    """The snapshot of an index that was made of the lines before CUTOFF."""
+    """The snapshot of an index that was made of the lines before INDEXED_BEFORE."""
     index = SnapshotTable.fresh(spark, index_stream.SCHEMA, index_stream.KEYS)
-    index_stream.extend(erp.erp_lines(spark, d).where(F.col("po_order_date") < CUTOFF), index)
+    index_stream.extend(erp.erp_lines(spark, d).where(F.col("po_order_date") < INDEXED_BEFORE), index)
     return index.read(index.version())
 
 
