@@ -107,7 +107,8 @@ def pivotal_round(rows: DataFrame, seed: int = SEED) -> DataFrame:
     source meet; the last one of a source is rounded, see _SETTLE.
     ``nodes`` is the source's number of leaves; a node is a hash of the id, so a
     source with a third of all rows is dealt to as many nodes as it needs.
-    ``row`` is a row's identity; chance depends on id, size and seed alone.
+    ``row`` is a row's identity; chance depends on id, size and seed alone, and
+    ids of equal rows differ (_told_apart()).
     """
     done = None
     level = 0
@@ -130,6 +131,23 @@ def _key(doc_id: Column, text: Column, source: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x00", *[F.coalesce(c.cast("string"), F.lit("\x01")) for c in (source, doc_id, text)])))
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Rows (row, key, ...) with ``id`` for key: a hash of the key and, for rows that are equal, of their number among these.
+
+    Equal rows may be a third of all: they are numbered by ranges of (key, row),
+    so that they go to as many nodes, and no task, meets all of them.
+    """
+    again = stored(rows.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("many")))
+    if not again.limit(1).count():
+        return rows.withColumn("id", F.xxhash64("key")).drop("key")
+    rows = stored(rows)
+    many = numbered(salted_lookup(rows.select("key", "row"), again, "key", "row", "inner").select("key", "row"), F.struct("key", "row"), "number")
+    first = many.groupBy("key").agg(F.min("number").alias("first"))
+    place = salted_lookup(many, first, "key", "row", "inner").select("row", (F.col("number") - F.col("first")).alias("place"))
+    own = F.when(F.coalesce("place", F.lit(0)) == 0, F.xxhash64("key")).otherwise(F.xxhash64("key", "place"))
+    return rows.join(place, "row", "left").withColumn("id", own).drop("key", "place")
+
+
 def _mixed(docs: DataFrame, weights: tuple[float, ...], cap: int, seed: int) -> DataFrame:
     """doc_id, key, size, source_size, target, copies of each row."""
     sized = docs.select("doc_id", "source", _key(F.col("doc_id"), F.col("text"), F.col("source")).alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
@@ -140,7 +158,7 @@ def _mixed(docs: DataFrame, weights: tuple[float, ...], cap: int, seed: int) ->
     rows = salted_lookup(keyed(sized), keyed(targets).drop("source"), "k", "row").drop("k")
     rows = rows.withColumn("want", F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     rows = rows.withColumn("sure", F.floor(F.col("want") + 1e-12).cast("int")).withColumn("p", F.greatest(F.lit(0.0), F.col("want") - F.col("sure")))
-    rounded = pivotal_round(rows.where("p > 1e-12").select("source", "nodes", "row", F.xxhash64("key").alias("id"), "size", "p"), seed)
+    rounded = pivotal_round(_told_apart(rows.where("p > 1e-12").select("source", "nodes", "row", "key", "size", "p")), seed)
     return rows.join(rounded, "row", "left").withColumn("copies", (F.col("sure") + F.coalesce("copy", F.lit(0))).cast("long"))
 
 
