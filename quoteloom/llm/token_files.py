@@ -19,11 +19,11 @@ from .tokens import encoder
 #: Id that ends a document.
 END = 2
 #: Tokens of a shard, about: a shard is closed by the first document that reaches it.
-SHARD_TOKENS = 1 << 18
+SHARD_TOKENS = 1 << 20
 #: Pairs that a round replaces at most, and the least count of a pair that is worth a rule.
-PAIRS, LEAST = 8_192, 8
+PAIRS, LEAST = 1 << 17, 2
 MAGIC = b"QLRP0002"
-_SLOTS = 17
+_SLOTS = 20
 
 
 @dataclass
