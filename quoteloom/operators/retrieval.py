@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,6 +16,8 @@ K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF_K, SHORTLIST, PER_QUERY = 60, 50, 30
 #: Rows that a query block is compared with at once.
 BLOCK = 2_048
+#: Queries of a pass of bm25_topk(), and documents whose weights a task holds at once.
+QUERIES, DOCS = 2_000, 512
 
 
 def bm25_index(docs: DataFrame, toks: Column) -> dict[str, DataFrame]:
@@ -54,39 +56,61 @@ def ranked(rows: DataFrame, by: str, *order: Column, name: str = "rank") -> Data
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
 
-def bm25_topk(index: dict[str, DataFrame], queries: DataFrame, k: int = PER_QUERY) -> DataFrame:
-    """The best k documents of each query; documents that score 0 fill up in order of doc.
+def bm25_topk(index: dict[str, DataFrame], queries: DataFrame, k: int = PER_QUERY, block: int = QUERIES) -> DataFrame:
+    """The best k documents of each query (q, terms); documents that score 0 fill up in order of doc.
 
-    Only the k first documents can be needed for that, so the zeros are k rows a
-    query and not the corpus; they join the sums as parts of 0, so scores are
-    made once.
+    Queries are a stated set, ``block`` of them in a pass. Only postings of their
+    terms are read, and they meet by document, not by query: a task multiplies
+    its documents' term weights with the queries' and keeps k rows a query, so
+    pairs of a query and a document are never rows of a shuffle.
     """
-    fill = index["lengths"].orderBy("doc").limit(k + 1).select("doc")
-    zeros = queries.select("q").join(F.broadcast(fill)).withColumn("part", F.lit(0.0))
-    scores = _parts(index, queries).unionByName(zeros).groupBy("q", "doc").agg(F.round(F.sum("part"), 6).alias("score"))
-    return ranked(scores, "q", F.desc("score"), F.asc("doc")).where(F.col("rank") <= k)
-
-
-def save_index(index: dict[str, DataFrame], folder: str, fingerprint: str) -> None:
-    """Writes an index for load_index(): the parts first, the mark that they are whole last."""
-    spark = index["postings"].sparkSession
-    for name, df in index.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{fingerprint}/{name}")
-    spark.range(1).write.mode("overwrite").parquet(f"{folder}/{fingerprint}/whole")
-
-
-def load_index(spark: SparkSession, folder: str, fingerprint: str) -> dict[str, DataFrame] | None:
-    """The index of a fingerprint; None if none was written whole."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{fingerprint}/whole/_SUCCESS")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return {n: spark.read.parquet(f"{folder}/{fingerprint}/{n}") for n in ("postings", "lengths", "terms", "totals")}
-
+    queries = cut(queries.select("q", "terms"))
+    n = queries.count()
+    passes = max(1, -(-n // block))
+    first = index["lengths"].orderBy("doc").limit(k + 1).select("doc")  # only these can fill up
+    met = index["postings"].join(F.broadcast(first), "doc").join(queries.select("q", F.explode("terms").alias("term")), "term").select("q", "doc").distinct()
+    zeros = queries.select("q").join(F.broadcast(first)).join(met, ["q", "doc"], "left_anti").withColumn("score", F.lit(0.0))
+    every = zeros.select("q", "doc", "score")
+    for i in range(passes):
+        part = queries.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == i) if passes > 1 else queries
+        every = every.unionByName(_best_of_tasks(index, part, k))
+    return ranked(every.groupBy("q", "doc").agg(F.max("score").alias("score")), "q", F.desc("score"), F.asc("doc")).where(F.col("rank") <= k)
+
+
+def _best_of_tasks(index: dict[str, DataFrame], queries: DataFrame, k: int) -> DataFrame:
+    asked = queries.select("q", F.explode("terms").alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf"))
+    got = asked.join(index["terms"], "term").collect()  # the terms of a block of queries
+    ids, names = {t: i for i, t in enumerate(sorted({r["term"] for r in got}))}, sorted({r["q"] for r in got})
+    place = {q: i for i, q in enumerate(names)}
+    weights = np.zeros((len(ids), len(names)))
+    for r in got:
+        weights[ids[r["term"]], place[r["q"]]] = r["qtf"] * r["idf"] or 1e-300  # a term of no weight is still a common term
+    labels, total = np.array(names), index["totals"].first()
+    odd = any(r["idf"] <= 0 for r in got)  # then a document with a term of the query may score 0
+    avgdl = float(total["avgdl"] or 1.0) if total else 1.0
+    spark = queries.sparkSession
+    known = spark.createDataFrame(list(ids.items()), "term string, t int")
+    lists = index["postings"].join(F.broadcast(known), "term").groupBy("doc").agg(F.collect_list("t").alias("t"), F.collect_list("tf").alias("tf")).join(index["lengths"], "doc")
 
-def fingerprint(docs: DataFrame, *columns: str) -> str:
-    """A key of a table's content, whatever the order of its rows: its count and two sums of hashes."""
-    h = lambda seed: F.sum(F.shiftright(F.xxhash64(*columns, F.lit(seed)), 16))
-    return "-".join(str(v or 0) for v in docs.agg(F.count("*"), h(1), h(2)).first())
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for low in range(0, len(pdf) if len(labels) else 0, DOCS):
+                p = pdf.iloc[low : low + DOCS].sort_values("doc")
+                size, docs = p["t"].str.len().to_numpy(), p["doc"].to_numpy()
+                at = np.repeat(np.arange(len(p)), size)
+                tf = np.concatenate(p["tf"].to_numpy()).astype(np.float64)
+                x = np.zeros((len(p), len(ids)))
+                x[at, np.concatenate(p["t"].to_numpy())] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * p["dl"].to_numpy()[at] / avgdl))
+                score = np.round(x @ weights, 6).T
+                held = ((x > 0).astype(float) @ (weights != 0)).T > 0 if odd else score != 0
+                if score.shape[1] > k:
+                    least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+                    q, d = np.nonzero((score >= least) & held)
+                else:
+                    q, d = np.nonzero(held)
+                yield pd.DataFrame({"q": labels[q], "doc": docs[d], "score": score[q, d]})
+
+    return lists.mapInPandas(run, f"q {queries.schema['q'].dataType.simpleString()}, doc {index['lengths'].schema['doc'].dataType.simpleString()}, score double")
 
 
 def merge_max(hits: DataFrame, cap: int = SHORTLIST) -> DataFrame:

@@ -743,10 +743,26 @@ def rerank_lexical(spark, d):
     return R.lexical(cands(spark, d)).select("line", "doc", "rank", "score")
 
 
-@query()
+_RERANKED = f"""WITH {_TOPK}, l AS (SELECT *, CASE WHEN max(score) OVER (PARTITION BY q) > 0 THEN round(score / max(score) OVER (PARTITION BY q), 2) ELSE 0.0 END AS lex FROM k),
+h AS (SELECT q, doc, rank AS ord, round(0.5 * lex + 0.5 * greatest(0.0, lex), 6) AS score, row_number() OVER (PARTITION BY q ORDER BY round(0.5 * lex + 0.5 * greatest(0.0, lex), 6) DESC, rank, doc) AS place FROM l),
+m AS (SELECT *, max(score) OVER (PARTITION BY q) AS top1, round(max(score) OVER (PARTITION BY q) - coalesce(max(CASE WHEN place = 2 THEN score END) OVER (PARTITION BY q), max(score) OVER (PARTITION BY q)), 6) AS margin FROM h),
+qs AS (SELECT item_id AS q, list_distinct(list_filter(t, lambda x: length(x) >= 3)) AS a3, list_distinct(list_filter(t, lambda x: length(x) >= 4)) AS a4 FROM (SELECT item_id, {_tokens_sql("text")} AS t FROM benchmark)),
+ds AS (SELECT doc, list_distinct(list_filter(toks, lambda x: length(x) >= 3)) AS b3, list_distinct(list_filter(toks, lambda x: length(x) >= 4)) AS b4 FROM t WHERE doc IN (SELECT doc FROM k)),
+c AS (SELECT m.*, round(least(1.0, greatest(0.0, 0.58 * j + (1 - 0.58 * j) * cov * 0.68)), 6) AS ce FROM m JOIN (SELECT m.q AS q2, m.doc AS doc2, CASE WHEN len(list_distinct(list_concat(a3, b3))) > 0 THEN len(list_intersect(a3, b3)) / len(list_distinct(list_concat(a3, b3))) ELSE 0.0 END AS j, CASE WHEN len(a4) > 0 THEN len(list_intersect(a4, b4)) / len(a4) ELSE 0.0 END AS cov FROM m JOIN qs ON qs.q = m.q JOIN ds ON ds.doc = m.doc) ON q2 = q AND doc2 = doc),
+r AS (SELECT q, doc, top1 >= 0.85 AND margin >= 0.2 AS sure, score, ce, ord, place, row_number() OVER (PARTITION BY q ORDER BY ce DESC, ord, doc) AS ce_place FROM c)
+SELECT q AS line, doc, CASE WHEN sure THEN score ELSE ce END AS score, CASE WHEN sure THEN place ELSE ce_place END AS rank, NOT sure AS by_model FROM r WHERE CASE WHEN sure THEN place ELSE ce_place END <= 10"""
+
+
+@query(_RERANKED)
 def rerank_pipeline(spark, d):
-    scorer = lambda q, t: T.token_score(q, t)
-    return R.rerank(cands(spark, d), scorer)
+    """The documents that BM25 finds for each benchmark text; where its lead isn't sure, the pair scorer orders all of them."""
+    index = V.bm25_index(_docs(spark, d), T.tokens(F.col("text")))
+    top = cut(V.bm25_topk(index, _asked(spark, d)))
+    best = F.max("score").over(Window.partitionBy("q"))
+    rows = top.withColumn("lex", F.when(best > 0, F.round(F.col("score") / best, 2)).otherwise(0.0)).select(F.col("q").alias("line"), "doc", "lex", F.col("lex").alias("cos"), F.lit(0.0).alias("penalty"), F.col("rank").alias("ord"))
+    texts = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("line"), F.col("text").alias("query"))
+    told = cut(rows.join(texts, "line").join(_docs(spark, d), "doc"))
+    return R.rerank(told, T.token_score).select("line", "doc", "score", "rank", "by_model")
 
 
 _SCOPE = "WITH p AS (SELECT p_partkey AS line, n_nationkey AS idx, n_name AS txt, ((p_partkey * 3 + n_nationkey * 5) % 20) / 20.0 AS cos, CAST((p_partkey + n_nationkey) % 7 AS DOUBLE) AS bm FROM part, nation), s AS (SELECT *, round(0.65 * greatest(0.0, cos) + (1 - 0.65) * CASE WHEN max(bm) OVER (PARTITION BY line) > 0 THEN bm / max(bm) OVER (PARTITION BY line) ELSE 0.0 END, 4) AS score FROM p) SELECT line, score >= 0.55 AS in_scope, score AS confidence, CASE WHEN score >= 0.55 THEN txt END AS matched_scope_text, 'hybrid' AS method FROM s QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, idx) = 1"
