@@ -186,44 +186,38 @@ def dedupe_input_items(spark, d):
     return B.dedupe_items(rows).select("item_no", F.col("pos.p").alias("pos"))
 
 
-# --- scalars, over literal values on every nation
+# --- scalars, over texts of the tables
 
 
-def messy(spark, d, values: list[str | None]) -> DataFrame:
-    """Each value on each nation."""
-    n = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey")
-    return n.select("n_nationkey", F.posexplode(F.array(*[F.lit(v).cast("string") for v in values])).alias("i", "raw"))
+def words(spark, d) -> DataFrame:
+    """The distinct words of all documents: numbers, codes, addresses and prose."""
+    w = spark.read.parquet(f"{d}/documents.parquet").select(F.explode(F.split("text", r"[ \n]+")).alias("raw"))
+    return w.select(F.replace("raw", F.lit("ß"), F.lit("ss")).alias("raw")).distinct()  # the engines' capitals of ß differ
 
 
-def _messy_sql(values: list[str | None], select: str) -> str:
-    rows = ", ".join(f"({i}, {'NULL' if v is None else chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39)})" for i, v in enumerate(values))
-    return f"SELECT n_nationkey, i, {select} FROM nation, (VALUES {rows}) t(i, raw)"
+def _words_sql(select: str) -> str:
+    return f"SELECT raw, {select} FROM (SELECT DISTINCT replace(w, 'ß', 'ss') AS raw FROM (SELECT unnest(string_split_regex(text, '[ \\n]+')) AS w FROM documents))"
 
 
 _SQ = r"trim(regexp_replace(coalesce(CAST(raw AS VARCHAR), ''), '\s+', ' ', 'g'))"
-_KEYS = ["12.0", " 12.00 ", "ab-1", "ab  1", "nan", "NaN", None, "", "0012", "12.5", "x 1.0", "7.000"]
 
 
-@query(_messy_sql(_KEYS, rf"upper(CASE WHEN lower({_SQ}) = 'nan' THEN '' ELSE regexp_replace({_SQ}, '^(\d+)\.0+$', '\1') END) AS item_key"))
+@query(_words_sql(rf"upper(CASE WHEN lower({_SQ}) = 'nan' THEN '' ELSE regexp_replace({_SQ}, '^(\d+)\.0+$', '\1') END) AS item_key"))
 def normalize_item_key(spark, d):
-    return messy(spark, d, _KEYS).select("n_nationkey", "i", S.item_key(F.col("raw")).alias("item_key"))
+    return words(spark, d).select("raw", S.item_key(F.col("raw")).alias("item_key"))
 
 
-@query(_messy_sql(["12.0", "12.0000000001", "12.5", "PO-7", " po  7 ", "007", None], rf"upper(CASE WHEN {_SQ} LIKE '%.%' AND try_cast({_SQ} AS DOUBLE) IS NOT NULL AND abs(try_cast({_SQ} AS DOUBLE) - round(try_cast({_SQ} AS DOUBLE))) < 1e-9 THEN CAST(CAST(round(try_cast({_SQ} AS DOUBLE)) AS BIGINT) AS VARCHAR) ELSE {_SQ} END) AS po_key"))
+@query(_words_sql(rf"upper(CASE WHEN {_SQ} LIKE '%.%' AND try_cast({_SQ} AS DOUBLE) IS NOT NULL AND abs(try_cast({_SQ} AS DOUBLE) - round(try_cast({_SQ} AS DOUBLE))) < 1e-9 THEN CAST(CAST(round(try_cast({_SQ} AS DOUBLE)) AS BIGINT) AS VARCHAR) ELSE {_SQ} END) AS po_key"))
 def normalize_po_key(spark, d):
-    return messy(spark, d, ["12.0", "12.0000000001", "12.5", "PO-7", " po  7 ", "007", None]).select("n_nationkey", "i", S.po_key(F.col("raw")).alias("po_key"))
+    return words(spark, d).select("raw", S.po_key(F.col("raw")).alias("po_key"))
 
 
-_UOMS = ["P/H", "p/h.", "ea.", " Nos ", "m 2", None, "", "K.G."]
 _U = "replace(replace(upper(trim(coalesce(raw, ''))), '.', ''), ' ', '')"
 
 
-@query(_messy_sql(_UOMS, f"CASE WHEN {_U} = 'P/H' THEN 'PH' ELSE {_U} END AS uom, ({_U} <> '' AND CASE WHEN {_U} = 'P/H' THEN 'PH' ELSE {_U} END <> 'PH') AS mismatch"))
+@query(_words_sql(f"CASE WHEN {_U} = 'P/H' THEN 'PH' ELSE {_U} END AS uom, ({_U} <> '' AND CASE WHEN {_U} = 'P/H' THEN 'PH' ELSE {_U} END <> 'PH') AS mismatch"))
 def normalize_uom(spark, d):
-    return messy(spark, d, _UOMS).select("n_nationkey", "i", S.uom_key(F.col("raw")).alias("uom"), S.uom_mismatch(F.col("raw"), F.lit("p/h")).alias("mismatch"))
-
-
-_VENDORS = ["Acme Co.", "ACME TRADING COMPANY", "acme llc", "Beta W.L.L", "Gamma Corp Inc", "CO", "  delta  est. ", None, "Omega & Sons Ltd", "a-b 12"]
+    return words(spark, d).select("raw", S.uom_key(F.col("raw")).alias("uom"), S.uom_mismatch(F.col("raw"), F.lit("p/h")).alias("mismatch"))
 
 
 @query("SELECT s_suppkey, upper(trim(s_name)) AS vendor_key FROM supplier")
@@ -238,42 +232,52 @@ def _strip_sql() -> str:
     return f"regexp_replace({t}, '[^A-Z0-9]', '', 'g')"
 
 
-@query(_messy_sql(_VENDORS, f"{_strip_sql()} AS vendor_key"))
+@query(_words_sql(f"{_strip_sql()} AS vendor_key"))
 def vendor_key_local(spark, d):
-    return messy(spark, d, _VENDORS).select("n_nationkey", "i", S.vendor_key_local(F.col("raw")).alias("vendor_key"))
+    return words(spark, d).select("raw", S.vendor_key_local(F.col("raw")).alias("vendor_key"))
 
 
-_NUMS = ["1,234.50", "1,234", "SAR 12.5", "-3", "1.2.3", "abc", "", None, "12 pcs", "USD 1,000", "0.5", "5-", "NaN", "1e3"]
 _KEPT = r"regexp_replace(coalesce(raw, ''), '[^0-9,.\-]', '', 'g')"
 _PLAIN = r"CASE WHEN regexp_full_match({0}, '[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?') THEN try_cast({0} AS DOUBLE) END"
 _CLEAN = _PLAIN.format(f"(CASE WHEN {_KEPT} LIKE '%,%' AND {_KEPT} LIKE '%.%' THEN replace({_KEPT}, ',', '') ELSE replace({_KEPT}, ',', '.') END)")
 
 
-@query(_messy_sql(_NUMS, f"{_CLEAN} AS number"))
+@query(_words_sql(f"{_CLEAN} AS number"))
 def clean_numeric(spark, d):
-    return messy(spark, d, _NUMS).select("n_nationkey", "i", S.clean_numeric(F.col("raw")).alias("number"))
+    return words(spark, d).select("raw", S.clean_numeric(F.col("raw")).alias("number"))
 
 
-@query(_messy_sql(_NUMS, _PLAIN.format(f"replace({_KEPT}, ',', '')") + " AS number"))
+@query(_words_sql(_PLAIN.format(f"replace({_KEPT}, ',', '')") + " AS number"))
 def nullable_float(spark, d):
-    return messy(spark, d, _NUMS).select("n_nationkey", "i", S.nullable_float(F.col("raw")).alias("number"))
+    return words(spark, d).select("raw", S.nullable_float(F.col("raw")).alias("number"))
 
 
 _BARE = r"regexp_replace(coalesce(raw, ''), '(?i)SAR|USD|EUR|[,\s]', '', 'g')"
 _ONE = r"nullif(regexp_extract(replace(coalesce(raw, ''), ',', ''), '(-?\d+(?:\.\d+)?)', 1), '')"
 
 
-@query(_messy_sql(_NUMS, f"coalesce({_PLAIN.format(_BARE)}, {_PLAIN.format(_ONE)}, {_CLEAN}) AS number"))
+@query(_words_sql(f"coalesce({_PLAIN.format(_BARE)}, {_PLAIN.format(_ONE)}, {_CLEAN}) AS number"))
 def unit_cost_scalar(spark, d):
-    return messy(spark, d, _NUMS).select("n_nationkey", "i", S.unit_cost_scalar(F.col("raw")).alias("number"))
+    return words(spark, d).select("raw", S.unit_cost_scalar(F.col("raw")).alias("number"))
+
+
+def _raw_dates(spark, d) -> DataFrame:
+    """Order days as they are written, as Excel serials, and as numbers that are none."""
+    o, k = spark.read.parquet(f"{d}/orders.parquet"), F.col("o_orderkey") % 6
+    day, serial = F.col("o_orderdate").cast("date"), F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date"))
+    raw = F.when(k == 0, F.date_format(day, "yyyy-MM-dd")).when(k == 1, F.date_format(day, "yyyy/MM/dd")).when(k == 2, F.date_format(day, "dd/MM/yyyy")).when(k == 3, serial.cast("string")).when(k == 4, F.concat(serial.cast("string"), F.lit(".7"))).otherwise(F.col("o_orderkey").cast("string"))
+    return o.select("o_orderkey", raw.alias("raw"))
+
 
+_DATES = "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y/%m/%d') WHEN 2 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 3 THEN CAST(date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) AS VARCHAR) WHEN 4 THEN CAST(date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) AS VARCHAR) || '.7' ELSE CAST(o_orderkey AS VARCHAR) END AS raw FROM orders"
 
-_DATES = ["2001-05-06", "45000", "45000.7", "12", "70000", "2001/05/06", "06/05/2001", "", None, "not a date"]
 
+_DAY_RULE = "strftime(CASE WHEN try_cast(raw AS DOUBLE) IS NOT NULL THEN CASE WHEN try_cast(raw AS DOUBLE) BETWEEN 29500 AND 65000 THEN DATE '1899-12-30' + CAST(floor(try_cast(raw AS DOUBLE)) AS INTEGER) END ELSE coalesce(CAST(try_strptime(raw, '%Y-%m-%d') AS DATE), CAST(try_strptime(raw, '%Y/%m/%d') AS DATE), CAST(try_strptime(raw, '%d/%m/%Y') AS DATE)) END, '%Y-%m-%d') AS day"
 
-@query(_messy_sql(_DATES, "strftime(CASE WHEN try_cast(raw AS DOUBLE) IS NOT NULL THEN CASE WHEN try_cast(raw AS DOUBLE) BETWEEN 29500 AND 65000 THEN DATE '1899-12-30' + CAST(floor(try_cast(raw AS DOUBLE)) AS INTEGER) END ELSE coalesce(CAST(try_strptime(raw, '%Y-%m-%d') AS DATE), CAST(try_strptime(raw, '%Y/%m/%d') AS DATE), CAST(try_strptime(raw, '%d/%m/%Y') AS DATE)) END, '%Y-%m-%d') AS day"))
+
+@query(f"SELECT o_orderkey, {_DAY_RULE} FROM ({_DATES})")
 def po_date_iso(spark, d):
-    return messy(spark, d, _DATES).select("n_nationkey", "i", S.po_date_iso(F.col("raw")).alias("day"))
+    return _raw_dates(spark, d).select("o_orderkey", S.po_date_iso(F.col("raw")).alias("day"))
 
 
 @query("SELECT o_orderkey, strftime(DATE '1899-12-30' + CAST(30000 + o_orderkey % 30000 AS INTEGER), '%Y-%m-%d') AS day FROM orders")
@@ -293,45 +297,61 @@ def text_cap(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", S.cap_text(F.col("text"), 80_000, " [cut]").alias("text"))
 
 
-_DESCS = ["non", "N/A", "na", "x", "--", " pump ", "TBD", "…", None, "valve 10 mm"]
+@query(_words_sql("CASE WHEN length(trim(coalesce(raw, ''))) < 3 OR lower(trim(coalesce(raw, ''))) IN ('non', 'n/a', 'na', 'none', 'tbd', '-', '--', '.', '…') THEN '' ELSE trim(raw) END AS description"))
+def placeholder_desc(spark, d):
+    return words(spark, d).select("raw", S.placeholder_to_empty(F.col("raw")).alias("description"))
 
 
-@query(_messy_sql(_DESCS, "CASE WHEN length(trim(coalesce(raw, ''))) < 3 OR lower(trim(coalesce(raw, ''))) IN ('non', 'n/a', 'na', 'none', 'tbd', '-', '--', '.', '…') THEN '' ELSE trim(raw) END AS description"))
-def placeholder_desc(spark, d):
-    return messy(spark, d, _DESCS).select("n_nationkey", "i", S.placeholder_to_empty(F.col("raw")).alias("description"))
+_TAB_RAW = "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN ' mbl' WHEN 1 THEN lower(c_mktsegment) WHEN 2 THEN 'Ifas ' ELSE 'MSB' END || CASE WHEN c_custkey % 8 = 7 THEN ' ' || c_name ELSE '' END AS raw FROM customer"
 
 
-_TABS = ["mbl", "IFAS ", "msb", "other", None]
+_TAB_RULE = "CASE WHEN upper(trim(coalesce(raw, ''))) IN ('IFAS', 'MBL', 'MSB') THEN upper(trim(raw)) ELSE 'MBL' END AS tab, trim(regexp_replace(lower(trim(coalesce(raw, 'X Y & Z'))), '[^a-z0-9]+', '_', 'g'), '_') AS slug"
 
 
-@query(_messy_sql(_TABS, "CASE WHEN upper(trim(coalesce(raw, ''))) IN ('IFAS', 'MBL', 'MSB') THEN upper(trim(raw)) ELSE 'MBL' END AS tab, trim(regexp_replace(lower(trim(coalesce(raw, 'X Y & Z'))), '[^a-z0-9]+', '_', 'g'), '_') AS slug"))
+@query(f"SELECT c_custkey, {_TAB_RULE} FROM ({_TAB_RAW})")
 def company_tab(spark, d):
-    m = messy(spark, d, _TABS)
-    return m.select("n_nationkey", "i", S.company_tab(F.col("raw")).alias("tab"), S.company_slug(F.coalesce("raw", F.lit("X Y & Z"))).alias("slug"))
+    c, k = spark.read.parquet(f"{d}/customer.parquet"), F.col("c_custkey") % 4
+    tab = F.when(k == 0, " mbl").when(k == 1, F.lower("c_mktsegment")).when(k == 2, "Ifas ").otherwise("MSB")
+    m = c.select("c_custkey", F.concat(tab, F.when(F.col("c_custkey") % 8 == 7, F.concat(F.lit(" "), "c_name")).otherwise("")).alias("raw"))
+    return m.select("c_custkey", S.company_tab(F.col("raw")).alias("tab"), S.company_slug(F.coalesce("raw", F.lit("X Y & Z"))).alias("slug"))
+
+
+def _line_texts(spark, d) -> DataFrame:
+    """Discounts as percentages, quantities, these below zero, and order keys, as text."""
+    k, whole = F.col("l_linenumber") % 4, F.col("l_quantity").cast("int").cast("string")
+    raw = F.when(k == 0, F.round(F.col("l_discount") * 100).cast("int").cast("string")).when(k == 1, whole).when(k == 2, F.concat(F.lit("-"), whole)).otherwise(F.col("l_orderkey").cast("string"))
+    return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", raw.alias("raw"))
 
 
-_CONF = ["0.5", "1", "87", "101", "-1", None, "0"]
+_PCT_RULE = "CASE WHEN try_cast(raw AS DOUBLE) BETWEEN 0 AND 1 THEN try_cast(raw AS DOUBLE) * 100 WHEN try_cast(raw AS DOUBLE) > 1 AND try_cast(raw AS DOUBLE) <= 100 THEN try_cast(raw AS DOUBLE) END AS pct"
+_PCT_RAW = "SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 4 WHEN 0 THEN CAST(CAST(round(l_discount * 100) AS INTEGER) AS VARCHAR) WHEN 1 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) WHEN 2 THEN '-' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) ELSE CAST(l_orderkey AS VARCHAR) END AS raw FROM lineitem"
 
 
-@query(_messy_sql(_CONF, "CASE WHEN try_cast(raw AS DOUBLE) BETWEEN 0 AND 1 THEN try_cast(raw AS DOUBLE) * 100 WHEN try_cast(raw AS DOUBLE) > 1 AND try_cast(raw AS DOUBLE) <= 100 THEN try_cast(raw AS DOUBLE) END AS pct"))
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, {_PCT_RULE} FROM ({_PCT_RAW})")
 def match_confidence_pct(spark, d):
-    return messy(spark, d, _CONF).select("n_nationkey", "i", S.confidence_pct(F.col("raw").try_cast("double")).alias("pct"))
+    return _line_texts(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", S.confidence_pct(F.col("raw").try_cast("double")).alias("pct"))
 
 
-_FLAGS = ["True", "1", "YES", "false", "0", "no", "maybe", None]
+_FLAG_RULE = "CASE WHEN lower(trim(raw)) IN ('true', '1', 'yes') THEN true WHEN lower(trim(raw)) IN ('false', '0', 'no') THEN false END AS matched"
+_FLAG_RAW = "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN ' True' WHEN 1 THEN CAST(o_custkey % 3 AS VARCHAR) WHEN 2 THEN CASE WHEN o_totalprice > 1000 THEN 'Yes' ELSE 'NO' END ELSE o_orderstatus END AS raw FROM orders"
 
 
-@query(_messy_sql(_FLAGS, "CASE WHEN lower(trim(raw)) IN ('true', '1', 'yes') THEN true WHEN lower(trim(raw)) IN ('false', '0', 'no') THEN false END AS matched"))
+@query(f"SELECT o_orderkey, {_FLAG_RULE} FROM ({_FLAG_RAW})")
 def matched_flag(spark, d):
-    return messy(spark, d, _FLAGS).select("n_nationkey", "i", S.matched_flag(F.col("raw")).alias("matched"))
+    k = F.col("o_orderkey") % 4
+    raw = F.when(k == 0, " True").when(k == 1, (F.col("o_custkey") % 3).cast("string")).when(k == 2, F.when(F.col("o_totalprice") > 1000, "Yes").otherwise("NO")).otherwise(F.col("o_orderstatus"))
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", raw.alias("raw")).select("o_orderkey", S.matched_flag(F.col("raw")).alias("matched"))
 
 
-_JSON = ['{"a": 1}', 'text {"b": 2} text', '```json\n{"c": 3}\n```', "none", None, "[1, 2]"]
+_JSON_RULE = "coalesce(CASE WHEN json_valid(trim(raw)) AND trim(raw) LIKE '{%' THEN trim(raw) END, CASE WHEN json_valid(nullif(regexp_extract(raw, '(?s)(\\{.*\\})', 1), '')) THEN regexp_extract(raw, '(?s)(\\{.*\\})', 1) END) AS json".replace("\\\\", "\\")
+_JSON_RAW = "SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN 'text ' || props || ' text' WHEN 2 THEN '```json' || chr(10) || props || chr(10) || '```' ELSE event_type END AS raw FROM events"
 
 
-@query(_messy_sql(_JSON, "coalesce(CASE WHEN json_valid(trim(raw)) AND trim(raw) LIKE '{%' THEN trim(raw) END, CASE WHEN json_valid(nullif(regexp_extract(raw, '(?s)(\\{.*\\})', 1), '')) THEN regexp_extract(raw, '(?s)(\\{.*\\})', 1) END) AS json".replace("\\\\", "\\")))
+@query(f"SELECT event_id, {_JSON_RULE} FROM ({_JSON_RAW})")
 def llm_json_loose(spark, d):
-    return messy(spark, d, _JSON).select("n_nationkey", "i", S.json_loose(F.col("raw")).alias("json"))
+    k = F.col("event_id") % 4
+    raw = F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit("text "), "props", F.lit(" text"))).when(k == 2, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).otherwise(F.col("event_type"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", raw.alias("raw")).select("event_id", S.json_loose(F.col("raw")).alias("json"))
 
 
 @query("SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 4 = 3 THEN NULL WHEN s_suppkey % 4 = 2 THEN round(least(100.0, s_suppkey % 130), 1) WHEN s_suppkey % 4 = 1 THEN round(least(100.0, s_suppkey % 90), 1) ELSE round(least(100.0, 0.55 * (s_suppkey % 90) + 0.45 * (s_suppkey % 130)), 1) END AS DOUBLE) AS confidence FROM supplier")
