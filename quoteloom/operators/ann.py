@@ -64,7 +64,7 @@ def build(corpus: DataFrame, lists: int | None = None, k: int = PER_QUERY, recal
     hashed = F.xxhash64("doc", F.lit(17))
     fit_on = rows.orderBy(hashed, "doc").limit(sample).collect()
     if not fit_on:
-        return Index(rows.withColumn("list", F.lit(0)), np.zeros((1, 1)), 1, 1.0)
+        return Index(rows.withColumn("list", F.lit(0)), np.zeros((0, 0)), 1, 1.0)
     x = unit(np.array([r["vec"] for r in fit_on], np.float64))
     count = min(len(x), lists or max(1, min(LISTS, round(n**0.5))))
     c = _centroids(x, count)
@@ -91,9 +91,11 @@ def search(index: Index, queries: DataFrame, k: int = PER_QUERY, probes: int | N
     meets a group in one task, which keeps k rows a query, so a list that holds a
     third of all rows is no single task's.
     """
-    probes = min(len(index.centroids), probes or index.probes)
     c = index.centroids
-    kind = queries.schema["q"].dataType.simpleString()
+    kind, doc_kind = queries.schema["q"].dataType.simpleString(), index.rows.schema["doc"].dataType.simpleString()
+    if not len(c):
+        return queries.sparkSession.createDataFrame([], f"q {kind}, doc {doc_kind}, sim double, rank int")
+    probes = min(len(c), probes or index.probes)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -127,7 +129,7 @@ def search(index: Index, queries: DataFrame, k: int = PER_QUERY, probes: int | N
         return pd.concat(out)
 
     by = ["list", "c", "g"]
-    hits = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(meet, f"q {kind}, doc {index.rows.schema['doc'].dataType.simpleString()}, sim double")
+    hits = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(meet, f"q {kind}, doc {doc_kind}, sim double")
     return ranked(hits, "q", F.desc("sim"), F.asc("doc")).where(F.col("rank") <= k)
 
 

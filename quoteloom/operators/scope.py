@@ -27,7 +27,7 @@ def _nearest(lines: DataFrame, scope: DataFrame, block: int) -> DataFrame:
     for i in range(passes):
         got = scope.where(F.pmod(F.xxhash64("scope_idx"), F.lit(passes)) == i).orderBy("scope_idx").collect()
         ids = np.array([r["scope_idx"] for r in got], np.int64)
-        m = np.array([r["vec"] for r in got], np.float64).reshape(len(got), -1)
+        m = np.array([r["vec"] for r in got], np.float64).reshape(len(got), len(got[0]["vec"]) if got else 0)
         m = m / np.where((size := np.linalg.norm(m, axis=1, keepdims=True)) > 0, size, 1.0)
 
         def run(batches: Iterator[pd.DataFrame], m=m, ids=ids) -> Iterator[pd.DataFrame]:

@@ -89,7 +89,7 @@ class Bm25Store:
         version = self.version() if version is None else version
         live = self._live(version)
         stats = self.stats.of(self._folders(version)[1]).groupBy("term").agg(F.sum("df").alias("df"), F.sum("docs").alias("docs"), F.sum("length").alias("length"))
-        total = cut(stats.where("term IS NULL").select(F.col("docs").alias("n_docs"), (F.col("length") / F.col("docs")).alias("avgdl")))
+        total = cut(stats.where("term IS NULL").select(F.col("docs").alias("n_docs"), F.try_divide("length", "docs").alias("avgdl")))
         raw = stats.where("term IS NOT NULL AND df > 0").crossJoin(F.broadcast(total)).select("term", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
         mean = raw.agg(F.avg("raw").alias("mean"))
         terms = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
