@@ -741,10 +741,14 @@ def per_line_topk(spark, d):
     return R.hybrid(cands(spark, d), 3).select("line", "doc", "rank", "score")
 
 
-@query(f"WITH {_CANDS}, k AS (SELECT *, doc % 3 <> 0 AS keep, bool_or(doc % 3 <> 0) OVER (PARTITION BY line) AS any_kept FROM m) SELECT * FROM (SELECT line, doc, score, row_number() OVER (PARTITION BY line ORDER BY score DESC, doc) AS rank FROM k WHERE keep OR NOT any_kept) WHERE rank <= 3")
+#: Before items are excluded the pool of a line is its first 50.
+_POOL = _CANDS.replace("rank <= 10", "rank <= 50")
+
+
+@query(f"WITH {_POOL}, k AS (SELECT *, doc % 3 <> 0 AS keep, bool_or(doc % 3 <> 0) OVER (PARTITION BY line) AS any_kept FROM m) SELECT * FROM (SELECT line, doc, score, row_number() OVER (PARTITION BY line ORDER BY score DESC, doc) AS rank FROM k WHERE keep OR NOT any_kept) WHERE rank <= 3")
 def item_exclusion(spark, d):
-    h = R.hybrid(cands(spark, d)).select("line", "doc", "item_key", "score", "rank")
-    return R.exclude(h, h.where("doc % 3 = 0").select("line", "item_key"), 3).select("line", "doc", "score", "rank")
+    rows = cands(spark, d)
+    return R.rerank(rows, None, 3, rows.where("doc % 3 = 0").select("line", "item_key")).select("line", "doc", "score", "rank")
 
 
 @query(f"WITH {_CANDS} SELECT least(greatest(max(n), 2), 12) AS cap FROM (SELECT line, count(*) AS n FROM m GROUP BY line)")

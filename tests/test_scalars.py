@@ -67,3 +67,17 @@ def test_answers():
     (m,) = responses.find_matches(responses.loads_loose(text))
     assert responses._pick(m, responses.FIELDS["unit_cost"]) == "SAR 5" and responses._pick(m, responses.FIELDS["matched"]) == "false"
     assert responses.find_matches(responses.loads_loose("no json")) == []
+
+
+def test_messy_literals(spark):
+    """Spellings that the tables don't have."""
+    assert column(spark, ["12.0", " 12.00 ", "ab  1", "NaN", None, "0012", "12.5", "x 1.0", "7.000"], S.item_key) == ["12", "12", "AB 1", "", "", "0012", "12.5", "X 1.0", "7"]
+    assert column(spark, ["12.0", "12.0000000001", "12.5", " po  7 ", "007", None], S.po_key) == ["12", "12", "12.5", "PO 7", "007", ""]
+    assert column(spark, ["P/H", "p/h.", "ea.", " Nos ", "m 2", None, "K.G."], S.uom_key) == ["PH", "PH", "EA", "NOS", "M2", "", "KG"]
+    assert column(spark, ["ACME TRADING COMPANY", "acme llc", "Gamma Corp Inc", "  delta  est. ", None, "Omega & Sons Ltd", "a-b 12"], S.vendor_key_local) == ["ACMETRADING", "ACME", "GAMMACORP", "DELTA", "", "OMEGASONS", "AB12"]
+    assert column(spark, ["non", "N/A", "na", "x", "--", " pump ", "TBD", None, "valve 10 mm"], S.placeholder_to_empty) == ["", "", "", "", "", "pump", "", "", "valve 10 mm"]
+    assert column(spark, ["mbl", "IFAS ", "msb", "other", None], S.company_tab) == ["MBL", "IFAS", "MSB", "MBL", "MBL"]
+    assert column(spark, ["0.5", "1", "87", "101", "-1", None, "0"], lambda c: S.confidence_pct(c.try_cast("double"))) == [50.0, 100.0, 87.0, None, None, None, 0.0]
+    assert column(spark, ["True", "1", "YES", "false", "0", "no", "maybe", None], S.matched_flag) == [True, True, True, False, False, False, None, None]
+    assert column(spark, ['{"a": 1}', 'text {"b": 2} text', '```json\n{"c": 3}\n```', "none", None, "[1, 2]"], S.json_loose) == ['{"a": 1}', '{"b": 2}', '{"c": 3}', None, None, None]
+    assert column(spark, ["45000", "12", "2001/02/03", "?"], lambda c: F.date_format(S.po_date_cell(c), "yyyy-MM-dd")) == [None, None, "2001-02-03", None]  # bare numbers in text are no dates
