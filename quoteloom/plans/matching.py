@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ann
-from ..operators import bestmatch as M
 from ..operators import crossmatch as X
 from ..operators import enrich as E
 from ..operators import retrieval as V
@@ -265,13 +264,13 @@ def _reader():
     return ask
 
 
-@query(f"WITH {_SIDES}, best AS (SELECT item_description, arg_min(item_no, CAST(item_key AS BIGINT)) AS item_no, arg_min(unit_cost, CAST(item_key AS BIGINT)) AS cost FROM m GROUP BY 1) SELECT CAST(i.item_key AS BIGINT) AS line, b.item_no AS ref_item_no, round(b.cost, 4) AS ref_unit_cost, 2 AS most_tries, true AS one_answer_a_batch, 0::BIGINT AS n_again FROM i JOIN best b USING (item_description) WHERE CAST(i.item_key AS BIGINT) % 2 = 1")
+@query(f"WITH {_SIDES}, best AS (SELECT item_description, arg_min(item_no, CAST(item_key AS BIGINT)) AS item_no, arg_min(unit_cost, CAST(item_key AS BIGINT)) AS cost FROM m GROUP BY 1) SELECT CAST(i.item_key AS BIGINT) AS line, b.item_no AS ref_item_no, b.cost AS ref_unit_cost, 2 AS most_tries, true AS one_answer_a_batch, 0::BIGINT AS n_again FROM i JOIN best b USING (item_description) WHERE CAST(i.item_key AS BIGINT) % 2 = 1")
 def model_answers(spark, d):
     """Prompts of twenty lines go to a model that fails on the first try; its answers are kept and applied."""
     asking = cut(_asking(spark, d).where("line % 2 = 1"))
     work = cut(_work(spark, d, "MBL"))
-    near = M.by_tokens(asking, work.where("unit_cost IS NOT NULL"), 0.22)
-    cands = asking.select("line", "description").join(near.where("sim > 0"), "description").join(work, "doc").select("line", F.lit(1).alias("rank"), "item_no", "item_description", "unit_cost", "unit", "vendor")
+    first = work.groupBy(F.col("item_description").alias("description")).agg(F.min("doc").alias("doc"))
+    cands = asking.select("line", "description").join(first, "description").join(work, "doc").select("line", F.lit(1).alias("rank"), "item_no", "item_description", "unit_cost", "unit", "vendor")
     asked = cut(prompts(asking, cands))
     store = AnswerStore.fresh(spark, "reader", "1", _reader, pause=0.0)
     got, _ = store.answers(asked)
@@ -279,7 +278,7 @@ def model_answers(spark, d):
     picks = got.select(F.inline(X.responses.parse_matches("answer")))
     applied = X.apply_matches(asking, picks)
     kept = store.table.read().agg(F.max("tries").alias("most_tries"), (F.count("answer") == asked.count()).alias("one_answer_a_batch"))
-    return applied.crossJoin(F.broadcast(kept)).select("line", "ref_item_no", F.round("ref_unit_cost", 4).alias("ref_unit_cost"), "most_tries", "one_answer_a_batch", F.lit(again).cast("long").alias("n_again"))
+    return applied.crossJoin(F.broadcast(kept)).select("line", "ref_item_no", "ref_unit_cost", "most_tries", "one_answer_a_batch", F.lit(again).cast("long").alias("n_again"))
 
 
 @query(f"WITH {ERP_SQL} SELECT vendor, count(*) AS n, count(DISTINCT item_no) AS n_items, round(sum(CAST(qty AS DOUBLE)), 2) AS qty, false AS known_first, true AS known_again FROM erp WHERE company_tab = 'MBL' GROUP BY vendor")
