@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .scalars import nfkc
+
 #: Units that are joined to the number before them.
 UNITS = "mm|cm|m|km|kg|g|mg|ton|tons|in|inch|inches|ft|feet|sqm|cbm|pcs|nos|no|set|sets|pkt|box|boxes|ltr|liter|liters|gal|amp|amps|volt|volts|watt|watts|hp|kva|kw|psi|bar"
 #: Words that another word stands for.
@@ -76,10 +78,15 @@ def similarity(query: Column, row: Column) -> Column:
 
 
 def canonical(c: Column) -> Column:
-    """Lower-case letters, digits and Arabic, other runs as one space."""
+    """Lower-case letters, digits and Arabic, other runs as one space; of folded() text, as registries and stores take it."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^0-9a-z\\u0600-\\u06ff]+", " "))
 
 
+def folded(c: Column) -> Column:
+    """The text with full-width, composed and other compatible characters as their plain forms (NFKC), null as empty: what keys of descriptions are made of."""
+    return nfkc(F.coalesce(c, F.lit("")))
+
+
 def singular(t: Column) -> Column:
     """Plural endings off alphabetic words: ies is y, es and s go."""
     n = F.length(t)

@@ -11,7 +11,7 @@ from ..functions import text as T
 
 def registry(lines: DataFrame, description: str = "item_description", loose: bool = False) -> DataFrame:
     """canonical_desc -> sorted distinct item keys; blanks don't count."""
-    canon = (T.canonical_loose if loose else T.canonical)(F.col(description))
+    canon = (T.canonical_loose if loose else T.canonical)(T.folded(F.col(description)))
     rows = lines.select(canon.alias("canonical_desc"), S.item_key(F.col("item_no")).alias("item_key")).where("canonical_desc <> '' AND item_key <> ''").distinct()
     return rows.groupBy("canonical_desc").agg(F.array_sort(F.collect_list("item_key")).alias("item_keys"))
 
@@ -30,5 +30,5 @@ def summary(reg: DataFrame) -> DataFrame:
 
 def lookup(reg: DataFrame, queries: DataFrame, loose: bool = False) -> DataFrame:
     """queries (line_id, text) with the expected item keys of their canonical text."""
-    canon = (T.canonical_loose if loose else T.canonical)(F.col("text"))
+    canon = (T.canonical_loose if loose else T.canonical)(T.folded(F.col("text")))
     return queries.withColumn("canonical_desc", canon).join(reg, "canonical_desc", "left").withColumn("item_keys", F.coalesce("item_keys", F.array().cast("array<string>")))

@@ -21,7 +21,7 @@ def index_table(spark: SparkSession, index_path: str) -> SnapshotTable:
 
 def extend(lines: DataFrame, index: SnapshotTable) -> int:
     """Embeds and adds the descriptions of lines that the index lacks; returns how many. What is there is never rewritten, and of two writers none adds a row twice."""
-    wanted = lines.select("company_tab", T.canonical(F.col("item_description")).alias("canonical_desc")).where("canonical_desc <> ''").distinct()
+    wanted = lines.select("company_tab", T.canonical(T.folded(F.col("item_description"))).alias("canonical_desc")).where("canonical_desc <> ''").distinct()
     at = index.version()
     return index.append(index.missing(wanted, at).withColumn("vec", hash_embed(T.tokens(F.col("canonical_desc")))), at)
 

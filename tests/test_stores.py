@@ -267,3 +267,13 @@ def test_lines_are_parsed_once(spark, tmp_path):
     (folder / "b.csv").write_text("Material,Item Description,Net Price\n4,hose,7\n")
     again, known = erp.parsed_lines(spark, f"{folder}/*.csv", str(tmp_path / "cache"))
     assert not known and again.count() == 3
+
+
+def test_keys_are_of_folded_texts(spark):
+    from quoteloom.operators import canonical
+
+    wide = "ＢＡＬＬ　Ｖａｌｖｅ ２２ｍｍ ½"
+    lines = spark.createDataFrame([("A", wide), ("B", "ball valve 22mm 1\u20442"), ("C", None)], "item_no string, item_description string")
+    assert [tuple(r) for r in canonical.registry(lines).collect()] == [("ball valve 22mm 1 2", ["A", "B"])]
+    store = EmbeddingStore.fresh(spark, "counting", "folded", counting())
+    assert store.vectors(lines, F.col("item_description"))[1] == 1
