@@ -53,3 +53,17 @@ def test_pick_row_scores_a_text_once_an_item(spark):
     rows = spark.createDataFrame([(i, "A", "same text", 1.0) for i in range(50)], "doc long, item_no string, item_description string, unit_cost double")
     got = enrich._same_item(asked, rows, lambda q, t: count(q, t)).collect()
     assert len(got) == 100 and {r["sim"] for r in got} == {0.5} and seen.value <= 2
+
+
+def test_bm25_scores_meet_by_document(spark):
+    docs = spark.createDataFrame([(i, f"common word{i % 7} word{i % 3}") for i in range(40)] + [(40, ""), (41, None)], "doc long, text string")
+    index = V.bm25_index(docs, T.tokens(F.col("text")))
+    asked = spark.createDataFrame([(q, ["common", f"word{q}", f"word{q}"]) for q in range(5)], "q long, terms array<string>")
+    got = V.bm25_scores(index, asked, block=2)
+    assert "MapInPandas" in plan(got)  # pairs of a query and a document are no rows of a join and its shuffle
+    whole = {(r["q"], r["doc"]): r["score"] for r in got.collect()}
+    assert len(whole) == 200 and index["lengths"].count() == 42
+    top = V.bm25_topk(index, asked, k=4, block=2).collect()
+    for q in range(5):
+        want = sorted(((-whole.get((q, d), 0.0), d) for d in range(42)))[:4]
+        assert [(-r["score"], r["doc"]) for r in sorted((r for r in top if r["q"] == q), key=lambda r: r["rank"])] == want
