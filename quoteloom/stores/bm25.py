@@ -47,9 +47,10 @@ class Bm25Store:
         pairs = [f.split("|") for f in self.docs.folders(version)]
         return [d for d, _ in pairs], [s for _, s in pairs]
 
-    def _live(self, version: int) -> DataFrame:
-        """doc, fp, dl, terms of the documents that a snapshot holds."""
+    def _live(self, version: int, dealt: bool = False) -> DataFrame:
+        """doc, fp, dl, terms of the documents that a snapshot holds; ``dealt`` by document, as the searches read them."""
         rows = self.docs.of(self._folders(version)[0])
+        rows = rows.repartition("doc") if dealt else rows
         return rows.groupBy("doc", "fp").agg(F.sum("sign").alias("n"), F.any_value("dl").alias("dl"), F.any_value("terms").alias("terms")).where("n > 0").drop("n")
 
     @staticmethod
@@ -63,13 +64,15 @@ class Bm25Store:
     def ensure(self, docs: DataFrame, text: str = "text") -> tuple[int, int]:
         """Makes the index that of docs (doc, text): (texts added, texts taken out). Of rows of one doc, one counts; null texts are empty."""
         body = F.coalesce(F.col(text), F.lit(""))
-        each = docs.select("doc", body.alias("_text"), F.sha2(body, 256).alias("fp"))
+        # texts are dealt by document once; what follows keeps to that
+        each = docs.select("doc", body.alias("_text")).repartition("doc").withColumn("fp", F.sha2("_text", 256))
         given = each.groupBy("doc").agg(F.max("fp").alias("fp"), F.max_by("_text", "fp").alias("_text"))
-        keys = cut(each.groupBy("doc").agg(F.max("fp").alias("fp")))
+        keys = cut(docs.select("doc", F.sha2(body, 256).alias("fp")).groupBy("doc").agg(F.max("fp").alias("fp")))
         while True:
             base = self.version()
             live = cut(self._live(base).select("doc", "fp"))
-            new = given.join(live, ["doc", "fp"], "left_anti")  # only new texts are tokenised
+            known = live.groupBy("doc").agg(F.collect_set("fp").alias("_known"))
+            new = given.join(known, "doc", "left").where(~F.array_contains(F.coalesce("_known", F.array().cast("array<string>")), F.col("fp")))  # only new texts are tokenised
             each = new.select("doc", "fp", F.explode_outer(self.toks(F.col("_text"))).alias("term")).groupBy("doc", "fp", "term").agg(F.count("term").alias("tf"))
             lists = each.groupBy("doc", "fp").agg(F.sum("tf").alias("dl"), F.filter(F.array_sort(F.collect_list(F.struct("term", "tf"))), lambda t: t.term.isNotNull()).alias("terms"))
             gone = live.join(keys, ["doc", "fp"], "left_anti")
@@ -87,7 +90,7 @@ class Bm25Store:
     def get(self, version: int | None = None) -> dict[str, DataFrame]:
         """The index as retrieval.bm25_index() gives it, of a snapshot."""
         version = self.version() if version is None else version
-        live = self._live(version)
+        live = self._live(version, True).persist()
         stats = self.stats.of(self._folders(version)[1]).groupBy("term").agg(F.sum("df").alias("df"), F.sum("docs").alias("docs"), F.sum("length").alias("length"))
         total = cut(stats.where("term IS NULL").select(F.col("docs").alias("n_docs"), F.try_divide("length", "docs").alias("avgdl")))
         raw = stats.where("term IS NOT NULL AND df > 0").crossJoin(F.broadcast(total)).select("term", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
