@@ -62,7 +62,8 @@ def match_scope(lines: DataFrame, scope: DataFrame, embed: Embedder, weight: flo
     none = lambda method: (F.lit(False).alias("in_scope"), F.lit(0.0).alias("confidence"), F.lit("").alias("matched_scope_text"), F.lit(method).alias("method"))
     if not items.limit(1).count():
         return lines.select("line", *none("empty_scope"))
-    asked = lines.where("description <> ''")
+    # a description is compared once, however many lines have it
+    asked = cut(lines.where("description <> ''").select(F.col("description").alias("line"), "description").distinct())
     index = V.bm25_index(items.select(F.col("scope_idx").alias("doc"), "scope_text"), T.tokens(F.col("scope_text")))
     words = V.bm25_scores(index, asked.select(F.col("line").alias("q"), T.tokens(F.col("description")).alias("terms")), 9).select(F.col("q").alias("line"), F.col("doc").alias("scope_idx"), "score")
     held = cut(items.select("scope_idx", "scope_text", embed(F.col("scope_text")).alias("vec")))
@@ -77,4 +78,5 @@ def match_scope(lines: DataFrame, scope: DataFrame, embed: Embedder, weight: flo
     score = F.round(weight * F.greatest(F.lit(0.0), V.cosine(F.col("a"), F.col("vec"))) + (1 - weight) * share, 4)
     best = pairs.withColumn("s", score).groupBy("line").agg(F.max(F.struct("s", (-F.col("scope_idx")).alias("k"), "scope_text")).alias("b"))
     told = best.select("line", (F.col("b.s") >= threshold).alias("in_scope"), F.col("b.s").alias("confidence"), F.col("b.scope_text").alias("matched_scope_text"), F.lit("hybrid").alias("method"))
+    told = lines.where("description <> ''").join(told.withColumnRenamed("line", "description"), "description").drop("description")
     return told.unionByName(lines.where("description = ''").select("line", *none("empty_description")))
