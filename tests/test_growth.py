@@ -67,3 +67,17 @@ def test_bm25_scores_meet_by_document(spark):
     for q in range(5):
         want = sorted(((-whole.get((q, d), 0.0), d) for d in range(42)))[:4]
         assert [(-r["score"], r["doc"]) for r in sorted((r for r in top if r["q"] == q), key=lambda r: r["rank"])] == want
+
+
+def test_vendor_key_local_has_names_with_suffixes(spark, sf):
+    from quoteloom.functions import scalars as S
+    from quoteloom.plans import catalogue
+
+    got = catalogue.vendor_key_local(spark, sf)
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet").count()
+    ends = F.array(*[F.lit(x) for x in S.VENDOR_SUFFIXES])
+    cut = got.where(F.exists(ends, lambda e: F.endswith(F.upper(F.trim("raw")), e)))
+    assert cut.count() >= suppliers * len(S.VENDOR_SUFFIXES)
+    # each loses its suffix; of "Corp Inc" INC alone, as CORP was tested before it
+    assert cut.where(~F.col("vendor_key").rlike("^SUPPLIER[0-9]+(CORP)?$")).count() == 0
+    assert got.where("vendor_key LIKE '%CORP' AND raw LIKE '% Corp Inc'").count() == suppliers
