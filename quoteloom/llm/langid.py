@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import documents, release, row_struct, stored
+from .common import bounded_batches, documents, release, row_struct, stored
 
 #: Hashed dimensions of the n-gram vectors.
 DIMS = 1 << 12
@@ -181,6 +181,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
             b = pa.RecordBatch.from_arrays([b.column("_row"), pa.array([g[0] for g in got], pa.string())], ["_row", "_lang"])
             yield b.filter(pa.array([not g[2] for g in got], pa.bool_()))
 
+    bounded_batches(docs.sparkSession)
     kind = StructType([StructField("_row", docs.schema), StructField("_lang", StringType())])
     kept = docs.select(row_struct(docs).alias("_row"), F.col("text").alias("_text")).mapInArrow(run, kind)
     row = F.col("_row")

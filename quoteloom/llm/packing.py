@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import bounded_batches, documents
 from .tokens import encoder, token_strings
 
 #: Tokens of a sequence.
@@ -198,6 +198,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGT
     Other columns aren't read; an empty table gives no piece. ``path`` is the vocabulary file
     (None: the public one as installed on each machine).
     """
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_run(path, length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

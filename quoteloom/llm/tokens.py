@@ -8,8 +8,8 @@ import re
 import numpy as np
 import regex
 
-#: Words whose ids a worker keeps; when it has more it starts anew.
-WORDS = 1_000_000
+#: Words of a generation. A worker keeps the ids of two: when one is full, the words that weren't asked for in it are forgotten.
+WORDS = 250_000
 #: Words that the library merges in one call.
 JOINED = 200
 #: Characters that are split at once.
@@ -90,6 +90,18 @@ class Encoder:
     def clear(self) -> None:
         """Forgets all words."""
         self.known: dict = {}
+        self.older: dict = {}
+
+    def _recall(self, words: list) -> list:
+        """The words that the older generation hasn't either; the others are taken over."""
+        new = []
+        for key in words:
+            ids = self.older.get(key)
+            if ids is None:
+                new.append(key)
+            else:
+                self.known[key] = ids
+        return new
 
     def _merge(self, words: list[str]) -> None:
         """Learns plain words, each behind a space."""
@@ -134,7 +146,7 @@ class Encoder:
     def _split(self, part: str, first: bool) -> bytes:
         """The ids of a part. Only words that were never learnt need a look at their ends."""
         if len(self.known) >= WORDS:
-            self.clear()
+            self.known, self.older = {}, self.known
         words: list = part.split(" ")
         if first:
             words[0] = (words[0],)
@@ -142,15 +154,14 @@ class Encoder:
         if None not in got:
             return b"".join(got)
         missing = [i for i, ids in enumerate(got) if ids is None]
-        if self._learn(list(dict.fromkeys([words[i] for i in missing]))):
+        if self._learn(self._recall(list(dict.fromkeys([words[i] for i in missing])))):
             for i in missing:
                 got[i] = self.known[words[i]]
             return b"".join(got)
         # such words are kept under another kind of key, so that a plain word in known has plain ends
         keys = [(w,) if first and not k else (w, " ") for k, w in enumerate(_SAFE.split(part))]
-        for key in dict.fromkeys(keys):
-            if key not in self.known:
-                self._alone(key)
+        for key in self._recall([k for k in dict.fromkeys(keys) if k not in self.known]):
+            self._alone(key)
         return b"".join([self.known[w] for w in keys])
 
     def _plain(self, text: str) -> bytes:
