@@ -81,3 +81,21 @@ def test_vendor_key_local_has_names_with_suffixes(spark, sf):
     # each loses its suffix; of "Corp Inc" INC alone, as CORP was tested before it
     assert cut.where(~F.col("vendor_key").rlike("^SUPPLIER[0-9]+(CORP)?$")).count() == 0
     assert got.where("vendor_key LIKE '%CORP' AND raw LIKE '% Corp Inc'").count() == suppliers
+
+
+@pytest.mark.parametrize("name", ["benchmark_latest_by_item", "benchmark_lowest_by_item", "benchmark_before_window", "benchmark_window_fallback", "benchmark_other_vendor", "item_reference"])
+def test_descriptions_join_lines_dealt_by_part(spark, sf, monkeypatch, name):
+    from quoteloom.operators import benchmark
+    from quoteloom.plans import catalogue
+    from quoteloom.sources import erp
+
+    got = catalogue.QUERIES[name](spark, sf)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    rows = plan(got).split("\n")
+    at = next(i for i, line in enumerate(rows) if "RepartitionByExpression [l_partkey" in line)
+    below = [line for line in rows[at + 1 :]]
+    end = next((i for i, line in enumerate(below) if depth(line) <= depth(rows[at])), len(below))
+    dealt = "\n".join(below[:end])
+    assert "s_name" in dealt and "o_orderdate" in dealt and "p_name" not in dealt
+    monkeypatch.setattr(catalogue, "lines", lambda s, d, by_part=False: benchmark.keyed(erp.erp_lines(s, d)))
+    assert sorted(map(str, got.collect())) == sorted(map(str, catalogue.QUERIES[name](spark, sf).collect()))
