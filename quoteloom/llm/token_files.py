@@ -24,6 +24,8 @@ SHARD_TOKENS = 1 << 20
 PAIRS, LEAST = 1 << 17, 2
 MAGIC = b"QLRP0002"
 _SLOTS = 20
+#: Places up to which a round sorts all pairs, as counting by slots first would cost more.
+SORTED = 1 << 16
 
 
 @dataclass
@@ -114,7 +116,8 @@ def re_pair(docs: list[tuple[int | None, np.ndarray]], pairs: int = PAIRS, least
     Pairs don't reach across documents. A round replaces up to ``pairs`` of them
     at once; where chosen pairs overlap the more frequent one wins, and of a run
     of one symbol every second pair is taken. A pair whose hash slot a more
-    frequent one has waits for a later round.
+    frequent one has waits for a later round. A round costs by the pairs that may
+    still be replaced: symbols keep their places, linked to the next ones.
     """
     sizes = np.array([len(ids) for _, ids in docs], np.int64)
     seq = np.concatenate([ids for _, ids in docs]).astype(np.uint32) if docs else np.zeros(0, np.uint32)
@@ -128,29 +131,36 @@ def re_pair(docs: list[tuple[int | None, np.ndarray]], pairs: int = PAIRS, least
     slot_of = lambda x, y: (x * np.uint32(0x9E3779B1) + y * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _SLOTS)
     # where a pair starts that may occur often enough: counts only fall, so later rounds look at new symbols and what was left waiting
     alive = ~last
+    after_, before_ = np.arange(1, len(seq) + 1, dtype=np.int32), np.arange(-1, len(seq) - 1, dtype=np.int32)
+    gone = np.zeros(len(seq), bool)
     while True:
         at = np.flatnonzero(alive)
-        # a slot of the hash counts its pairs, so that only those that may be frequent are sorted
-        slot = slot_of(seq[at], seq[at + 1])
-        ok = (np.bincount(slot, minlength=1 << _SLOTS) >= least)[slot]
-        alive[at[~ok]] = False
-        at, slot = at[ok], slot[ok]
-        key = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        x, y = seq[at], seq[after_[at]]
+        slot = slot_of(x, y)
+        if len(at) > SORTED:
+            # a slot of the hash counts its pairs, so that only those that may be frequent are sorted
+            ok = (np.bincount(slot, minlength=1 << _SLOTS) >= least)[slot]
+            alive[at[~ok]] = False
+            at, slot, x, y = at[ok], slot[ok], x[ok], y[ok]
+        key = x.astype(np.uint64) << np.uint64(32) | y
         found, counts = np.unique(key, return_counts=True)
         good = counts >= least
         found, counts = found[good], counts[good]
         if not len(found):
             break
+        whole = len(found) <= pairs
         found = found[np.argsort(-counts, kind="stable")[:pairs]]
         a, b = (found >> np.uint64(32)).astype(np.uint32), found.astype(np.uint32)
         own = slot_of(a, b)
         slots[own[::-1]] = np.arange(len(found), 0, -1)  # 1 + rank; the most frequent pair of a slot is written last
         rank = slots[slot]
-        slots[own] = 0
         hit = rank > 0
+        if whole:  # a slot of no pair that is frequent enough
+            alive[at[~hit]] = False
         hit[hit] = found[rank[hit] - 1] == key[hit]
+        slots[own] = 0
         at, rank, none = at[hit], rank[hit] - 1, len(found)
-        near = at[1:] == at[:-1] + 1
+        near = at[1:] == after_[at[:-1]]
         before, after = np.full(len(at), none, np.int32), np.full(len(at), none, np.int32)
         before[1:][near] = rank[:-1][near]
         after[:-1][near] = rank[1:][near]
@@ -158,25 +168,31 @@ def re_pair(docs: list[tuple[int | None, np.ndarray]], pairs: int = PAIRS, least
         run = np.repeat(heads, np.diff(np.append(heads, len(at))))  # where its run of one pair starts
         odd = (np.arange(len(at)) - run + (before[run] < rank)) & 1
         chosen = (odd == 0) & (rank <= after)
-        take = at[chosen]
-        used, new = np.unique(rank[chosen], return_inverse=True)
-        known = np.concatenate([known, np.zeros(len(used), np.int64)])
+        take, rank = at[chosen], rank[chosen]
+        is_used = np.zeros(none, bool)
+        is_used[rank] = True
+        used, new = np.flatnonzero(is_used), (np.cumsum(is_used) - 1)[rank]
         sides = []
         for side in (a[used], b[used]):
             n = np.ones(len(side), np.int64)
             n[side >= first] = known[side[side >= first] - np.uint32(first)]
             sides.append(n)
-        known[rules:] = sides[0] + sides[1]
+        known = np.concatenate([known, sides[0] + sides[1]])
         left.append(a[used]), right.append(b[used]), length.append(known[rules:])
         seq[take] = (first + rules + new).astype(np.uint32)
         rules += len(used)
-        last[take] = last[take + 1]
+        dead = after_[take]
+        gone[dead] = True
+        last[take] = last[dead]
+        after_[take] = beyond = after_[dead]
+        inside = beyond < len(seq)
+        before_[beyond[inside]] = take[inside]
         alive[take] = True
-        alive[np.maximum(take - 1, 0)] = True
-        keep = np.ones(len(seq), bool)
-        keep[take + 1] = False
-        seq, last = seq[keep], last[keep]
-        alive = alive[keep] & ~last
+        alive[np.maximum(before_[take], 0)] = True
+        alive[dead] = False
+        alive[take[last[take]]] = False
+        alive[np.maximum(before_[take], 0)] &= ~last[np.maximum(before_[take], 0)]
+    seq, last = seq[~gone], last[~gone]
     marks = np.zeros(len(docs) + 1, np.int64)
     filled = np.flatnonzero(sizes > 0)
     marks[1:][filled] = np.flatnonzero(last) + 1

@@ -37,3 +37,18 @@ def test_pack_gets_small_batches(spark, monkeypatch):
         assert np.unique([r[0] for r in whole]).size == 3000
     finally:
         spark.conf.set(name, before)
+
+
+def test_re_pair_rounds_leave_settled_places_alone(monkeypatch):
+    from quoteloom.llm import token_files
+
+    # a phrase that doubles needs a round a doubling; the other places have pairs that occur once
+    phrase = np.arange(50_000, 50_002, dtype=np.uint32)
+    rare = np.random.default_rng(1).integers(0, 40_000, 60_000).astype(np.uint32)
+    docs = [(1, rare), (2, np.tile(phrase, 1 << 12)), (3, np.zeros(0, np.uint32))]
+    sorted_places = []
+    unique = np.unique
+    monkeypatch.setattr(token_files.np, "unique", lambda x, **kw: (sorted_places.append(len(x)), unique(x, **kw))[1])
+    s = token_files.re_pair(docs)
+    assert [d.tolist() for d in s.documents()] == [d.tolist() for _, d in docs]
+    assert len(sorted_places) >= 10 and sum(sorted_places[2:]) < 10_000
