@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,33 +46,36 @@ def best_backs(at: np.ndarray, penalty: np.ndarray, length: int = LENGTH) -> lis
     are looked up by their start. Of equal costs the earliest start wins.
     """
     n = len(at)
-    exact: dict[int, list[int]] = {}
-    power = 1
+    ends, begins, power = [], [], 1
     while power < length:
         want = at - power
         k = np.searchsorted(at, want)
-        for j in np.flatnonzero((want >= 0) & (at[np.minimum(k, n - 1)] == want)).tolist():
-            exact.setdefault(j, []).append(int(k[j]))
+        j = np.flatnonzero((want >= 0) & (at[np.minimum(k, n - 1)] == want))
+        ends.append(j), begins.append(k[j])
         power *= 2
+    order = np.argsort(np.concatenate(ends), kind="stable") if ends else []
+    until = np.concatenate(ends)[order].tolist() if ends else []
+    since = np.concatenate(begins)[order].tolist() if ends else []
+    until.append(n)
     pos, cost = at.tolist(), (penalty + PER_SEQUENCE).tolist()
     best = [0.0] * n
     back = [0] * n
-    keys: deque[float] = deque([0.0])
-    starts: deque[int] = deque([0])
+    keys, starts, head, e = [0.0], [0], 0, 0  # the queue begins at head
     for j in range(1, n):
         p = pos[j]
-        while pos[starts[0]] < p - length:
-            starts.popleft()
-            keys.popleft()
-        low, i = keys[0] + length - p, starts[0]
-        if j in exact:
-            for e in exact[j]:
-                if best[e] < low:
-                    low, i = best[e], e
+        reach = p - length
+        while pos[starts[head]] < reach:
+            head += 1
+        low, i = keys[head] - reach, starts[head]
+        while until[e] == j:
+            k = since[e]
+            if best[k] < low:
+                low, i = best[k], k
+            e += 1
         best[j] = low = low + cost[j]
         back[j] = i
         low += p
-        while keys and keys[-1] >= low:
+        while len(keys) > head and keys[-1] >= low:
             keys.pop()
             starts.pop()
         keys.append(low)
@@ -169,8 +171,9 @@ def _run(path: str | None, length: int):
 
         def stream():
             for b in batches:
-                for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                    yield i, np.append(enc.encode(t.as_py() or ""), np.uint32(END))
+                texts = (t.as_py() or "" for t in b.column("text"))
+                for i, ids in zip(b.column("doc_id").to_pylist(), enc.encode_each(texts), strict=True):
+                    yield i, np.append(ids, np.uint32(END))
 
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         rows = []

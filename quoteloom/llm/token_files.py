@@ -213,8 +213,9 @@ def _write(path: str | None):
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([number], pa.int32()), "before": pa.array([before], pa.int64()), "n_docs": pa.array([len(held)], pa.int64()), "n_tokens": pa.array([size], pa.int64()), "payload": pa.array([re_pair(held).to_bytes()], pa.binary())})
 
         for b in batches:
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids = np.append(enc.encode(t.as_py() or ""), np.uint32(END))
+            texts = (t.as_py() or "" for t in b.column("text"))
+            for i, ids in zip(b.column("doc_id").to_pylist(), enc.encode_each(texts), strict=True):
+                ids = np.append(ids, np.uint32(END))
                 held.append((i, ids))
                 size += len(ids)
                 if size >= SHARD_TOKENS:

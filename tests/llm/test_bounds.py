@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from types import SimpleNamespace
+
 import numpy as np
 
 from quoteloom.llm import packing, tokens
@@ -52,3 +55,25 @@ def test_re_pair_rounds_leave_settled_places_alone(monkeypatch):
     s = token_files.re_pair(docs)
     assert [d.tolist() for d in s.documents()] == [d.tolist() for _, d in docs]
     assert len(sorted_places) >= 10 and sum(sorted_places[2:]) < 10_000
+
+
+def test_words_of_many_texts_are_learnt_together():
+    e = tokens.Encoder(tokens.vocabulary_path())
+    runs, model = [], e.model
+    e.model = SimpleNamespace(tokenize=lambda run: (runs.append(run), model.tokenize(run))[1])
+    name = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    texts = [f"on {name(3 * k)}, {name(3 * k + 1)}é.\n{name(3 * k)} 12{name(3 * k + 2)}" for k in range(200)]
+    got = [ids.tolist() for ids in e.encode_each(texts)]
+    assert got == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(runs) < 60  # some 800 distinct words, 50 in a run; a text by itself needs at least one
+
+
+def test_words_are_cut_only_where_the_library_cuts(monkeypatch):
+    chance = random.Random(7)
+    signs = [*"aabcdeslt  \n\n\t\r\x0b''..,!?#|0123é’ñ\u00a0\u2003\u3000\u0085\x1c\x00²½日本\u0308😀👍🏽ǅªⅧ٣\u200d", "<|endoftext|>", " the", "'s", "'ll", "\r\n"]
+    texts = ["".join(chance.choices(signs, k=chance.choice([0, 1, 2, 3, 5, 9, 30, 80]))) for _ in range(3000)]
+    for e in (tokens.Encoder(tokens.vocabulary_path()), tokens.Encoder(tokens.vocabulary_path(), special=False)):
+        want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [ids.tolist() for ids in e.encode_each(texts)] == want
+        monkeypatch.setattr(tokens, "STEP", 20)
+        assert [ids.tolist() for ids in e.encode_each(texts)] == want
