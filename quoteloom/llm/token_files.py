@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ SHARD_TOKENS = 1 << 20
 PAIRS, LEAST = 1 << 17, 2
 MAGIC = b"QLRP0002"
 _SLOTS = 20
-#: Places up to which a round sorts all pairs, as counting by slots first would cost more.
+#: Places beyond which a round sorts pairs together with their places.
 SORTED = 1 << 16
 
 
@@ -69,12 +70,13 @@ class Shard:
             at += n[name] * int(kind[-1])
         return Shard(first, **got)
 
+    @cached_property
+    def _size_of(self) -> np.ndarray:
+        return np.concatenate([np.ones(self.first, np.int64), self.expansion.astype(np.int64)])
+
     def _sizes(self, symbols: np.ndarray) -> np.ndarray:
         """How many ids each symbol spells."""
-        out = np.ones(len(symbols), np.int64)
-        rule = symbols >= self.first
-        out[rule] = self.expansion[symbols[rule] - self.first]
-        return out
+        return self._size_of.take(symbols)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """The ids that symbols spell: expansion lengths tell where each side of a rule goes, level by level."""
@@ -83,14 +85,16 @@ class Shard:
         ends = np.cumsum(sizes)
         out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
         at = ends - sizes
+        left, right = self.left.astype(np.int64), self.right.astype(np.int64)
         while len(s):
-            done = s < self.first
-            out[at[done]] = s[done]
-            k, at = s[~done] - self.first, at[~done]
-            if not len(k):
+            rule = s >= self.first
+            done, rule = np.flatnonzero(~rule), np.flatnonzero(rule)
+            out[at.take(done)] = s.take(done)
+            if not len(rule):
                 break
-            a = self.left[k].astype(np.int64)
-            s, at = np.concatenate([a, self.right[k]]), np.concatenate([at, at + self._sizes(a)])
+            k, at = s.take(rule) - self.first, at.take(rule)
+            a = left.take(k)
+            s, at = np.concatenate([a, right.take(k)]), np.concatenate([at, at + self._sizes(a)])
         return out
 
     def documents(self) -> list[np.ndarray]:
@@ -110,13 +114,40 @@ class Shard:
         return self.expand(s[a:b])[skip : skip + n]
 
 
+def _ranked(x: np.ndarray, y: np.ndarray, at: np.ndarray, places: int, wide: int, long: int, pairs: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """The pairs that occur often enough, most frequent first, the rank of the pair at each place (-1: none of them), and whether these are all such pairs.
+
+    Symbols have ``wide`` bits and places ``long``, so that one sort of words of
+    64 bits brings equal pairs together with their places.
+    """
+    wide, long = np.uint64(wide), np.uint64(long)
+    word = x.astype(np.uint64)  # in place from here on: these are the largest arrays of a round
+    word <<= wide
+    word |= y
+    word <<= long
+    word |= at.view(np.uint64)
+    word.sort()
+    key = word >> long
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    counts = np.diff(np.append(starts, len(word)))
+    good = np.flatnonzero(counts >= least)
+    chosen = good[np.argsort(-counts[good], kind="stable")[:pairs]]
+    group = np.full(len(starts), -1, np.int32)
+    group[chosen] = np.arange(len(chosen), dtype=np.int32)
+    rank = np.empty(places, np.int32)
+    word &= (np.uint64(1) << long) - np.uint64(1)
+    rank[word.view(np.int64)] = np.repeat(group, counts)
+    found = key[starts[chosen]]
+    return (found >> wide).astype(np.uint32), (found & ((np.uint64(1) << wide) - np.uint64(1))).astype(np.uint32), rank.take(at), len(good) <= pairs
+
+
 def re_pair(docs: list[tuple[int | None, np.ndarray]], pairs: int = PAIRS, least: int = LEAST) -> Shard:
     """Compresses documents: replaces the most frequent pairs of symbols by nonterminals until no pair occurs ``least`` times.
 
     Pairs don't reach across documents. A round replaces up to ``pairs`` of them
     at once; where chosen pairs overlap the more frequent one wins, and of a run
-    of one symbol every second pair is taken. A pair whose hash slot a more
-    frequent one has waits for a later round. A round costs by the pairs that may
+    of one symbol every second pair is taken. In rounds of few places a pair whose
+    hash slot a more frequent one has waits for a later one. A round costs by the pairs that may
     still be replaced: symbols keep their places, linked to the next ones.
     """
     sizes = np.array([len(ids) for _, ids in docs], np.int64)
@@ -135,40 +166,46 @@ def re_pair(docs: list[tuple[int | None, np.ndarray]], pairs: int = PAIRS, least
     gone = np.zeros(len(seq), bool)
     while True:
         at = np.flatnonzero(alive)
-        x, y = seq[at], seq[after_[at]]
-        slot = slot_of(x, y)
-        if len(at) > SORTED:
-            # a slot of the hash counts its pairs, so that only those that may be frequent are sorted
-            ok = (np.bincount(slot, minlength=1 << _SLOTS) >= least)[slot]
-            alive[at[~ok]] = False
-            at, slot, x, y = at[ok], slot[ok], x[ok], y[ok]
-        key = x.astype(np.uint64) << np.uint64(32) | y
-        found, counts = np.unique(key, return_counts=True)
-        good = counts >= least
-        found, counts = found[good], counts[good]
-        if not len(found):
-            break
-        whole = len(found) <= pairs
-        found = found[np.argsort(-counts, kind="stable")[:pairs]]
-        a, b = (found >> np.uint64(32)).astype(np.uint32), found.astype(np.uint32)
-        own = slot_of(a, b)
-        slots[own[::-1]] = np.arange(len(found), 0, -1)  # 1 + rank; the most frequent pair of a slot is written last
-        rank = slots[slot]
-        hit = rank > 0
-        if whole:  # a slot of no pair that is frequent enough
-            alive[at[~hit]] = False
-        hit[hit] = found[rank[hit] - 1] == key[hit]
-        slots[own] = 0
-        at, rank, none = at[hit], rank[hit] - 1, len(found)
+        x, y = seq.take(at), seq.take(after_.take(at))
+        wide, long = int(first + rules).bit_length(), len(seq).bit_length()
+        if len(at) > SORTED and 2 * wide + long <= 64:
+            a, b, rank, whole = _ranked(x, y, at, len(seq), wide, long, pairs, least)
+            if not len(a):
+                break
+            hit = rank >= 0
+            if whole:
+                alive[at] = hit
+            hit = np.flatnonzero(hit)
+            at, rank, none = at.take(hit), rank.take(hit), len(a)
+        else:
+            slot = slot_of(x, y)
+            key = x.astype(np.uint64) << np.uint64(32) | y
+            found, counts = np.unique(key, return_counts=True)
+            good = counts >= least
+            found, counts = found[good], counts[good]
+            if not len(found):
+                break
+            whole = len(found) <= pairs
+            found = found[np.argsort(-counts, kind="stable")[:pairs]]
+            a, b = (found >> np.uint64(32)).astype(np.uint32), found.astype(np.uint32)
+            own = slot_of(a, b)
+            slots[own[::-1]] = np.arange(len(found), 0, -1)  # 1 + rank; the most frequent pair of a slot is written last
+            rank = slots[slot]
+            hit = rank > 0
+            if whole:  # a slot of no pair that is frequent enough
+                alive[at[~hit]] = False
+            hit[hit] = found[rank[hit] - 1] == key[hit]
+            slots[own] = 0
+            at, rank, none = at[hit], rank[hit] - 1, len(found)
         near = at[1:] == after_[at[:-1]]
         before, after = np.full(len(at), none, np.int32), np.full(len(at), none, np.int32)
-        before[1:][near] = rank[:-1][near]
-        after[:-1][near] = rank[1:][near]
+        before[1:] = np.where(near, rank[:-1], none)
+        after[:-1] = np.where(near, rank[1:], none)
         heads = np.flatnonzero(np.concatenate([[True], ~near | (rank[1:] != rank[:-1])]))
         run = np.repeat(heads, np.diff(np.append(heads, len(at))))  # where its run of one pair starts
-        odd = (np.arange(len(at)) - run + (before[run] < rank)) & 1
-        chosen = (odd == 0) & (rank <= after)
-        take, rank = at[chosen], rank[chosen]
+        odd = (np.arange(len(at)) - run + (before.take(run) < rank)) & 1
+        chosen = np.flatnonzero((odd == 0) & (rank <= after))
+        take, rank = at.take(chosen), rank.take(chosen)
         is_used = np.zeros(none, bool)
         is_used[rank] = True
         used, new = np.flatnonzero(is_used), (np.cumsum(is_used) - 1)[rank]
@@ -188,10 +225,11 @@ def re_pair(docs: list[tuple[int | None, np.ndarray]], pairs: int = PAIRS, least
         inside = beyond < len(seq)
         before_[beyond[inside]] = take[inside]
         alive[take] = True
-        alive[np.maximum(before_[take], 0)] = True
+        ahead = np.maximum(before_[take], 0)
+        alive[ahead] = True
         alive[dead] = False
         alive[take[last[take]]] = False
-        alive[np.maximum(before_[take], 0)] &= ~last[np.maximum(before_[take], 0)]
+        alive[ahead] &= ~last[ahead]
     seq, last = seq[~gone], last[~gone]
     marks = np.zeros(len(docs) + 1, np.int64)
     filled = np.flatnonzero(sizes > 0)
@@ -251,7 +289,7 @@ def _read(batches):
             got = s.documents()
             starts = s.starts[:-1].astype(np.int64) + base
             ids = pa.array(s.doc_ids, pa.int64(), mask=s.known == 0)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(starts), pa.array([len(d) for d in got], pa.int64()), pa.array([zlib.crc32(d.astype("<u4").tobytes()) for d in got], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(starts), pa.array([len(d) for d in got], pa.int64()), pa.array([zlib.crc32(d.astype("<u4", copy=False)) for d in got], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:

@@ -77,3 +77,18 @@ def test_words_are_cut_only_where_the_library_cuts(monkeypatch):
         assert [ids.tolist() for ids in e.encode_each(texts)] == want
         monkeypatch.setattr(tokens, "STEP", 20)
         assert [ids.tolist() for ids in e.encode_each(texts)] == want
+
+
+def test_large_rounds_leave_no_pair_waiting(monkeypatch):
+    from quoteloom.llm import token_files
+
+    # 79,999 pairs that occur twice, thousands of which share a slot of the hash with another
+    half = np.random.default_rng(3).permutation(80_000).astype(np.uint32)
+    docs = [(1, half), (2, half.copy())]
+    rounds = []
+    monkeypatch.setattr(token_files, "_ranked", lambda *a, own=token_files._ranked: (rounds.append(own(*a)), rounds[-1])[1])
+    s = token_files.re_pair(docs)
+    assert [d.tolist() for d in s.documents()] == [d.tolist() for _, d in docs] and len(s.symbols) == 2
+    a, b, rank, whole = rounds[0]
+    assert whole and len(a) == 79_999 and (rank[:79_999] == rank[79_999:]).all()
+    assert (a[rank[:79_999]] == half[:-1]).all() and (b[rank[:79_999]] == half[1:]).all()
