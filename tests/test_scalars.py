@@ -38,6 +38,11 @@ def test_tokens(spark):
     assert c == ["building"] and {"id", "no"} <= set(d)
 
 
+def test_units_end_as_in_sql(spark):
+    texts = ["1 inßlichver", "5 mètres", "3 inner 4 kg_ 6 kg-b 7 kg"]
+    assert column(spark, texts, T.tokens) == [["1inßlichver"], ["5mètres"], ["3", "inner", "4", "kg_", "6kgb", "7kg"]]
+
+
 def test_similarity(spark):
     df = spark.createDataFrame([("steel pipe 10 mm", "steel pipe 10mm"), ("a", "steel"), ("office copier toner", "carbon steel pipe sch40")], "q string, r string")
     same, short, far = [r[0] for r in df.select(T.similarity(F.col("q"), F.col("r"))).collect()]
