@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pathlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from quoteloom.functions import text as T
 from quoteloom.operators import bestmatch, enrich
 from quoteloom.operators import retrieval as V
+from quoteloom.session import base_folder, cut
+from quoteloom.stores.caches import PairScoreStore
 
 
 def plan(df) -> str:
@@ -99,3 +103,25 @@ def test_descriptions_join_lines_dealt_by_part(spark, sf, monkeypatch, name):
     assert "s_name" in dealt and "o_orderdate" in dealt and "p_name" not in dealt
     monkeypatch.setattr(catalogue, "lines", lambda s, d, by_part=False: benchmark.keyed(erp.erp_lines(s, d)))
     assert sorted(map(str, got.collect())) == sorted(map(str, catalogue.QUERIES[name](spark, sf).collect()))
+
+
+def test_what_a_store_writes(spark):
+    """The keys of the rows that are asked for aren't stored, only the table's."""
+    folder = pathlib.Path(base_folder(spark).removeprefix("file:"))
+    held = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    store = PairScoreStore.fresh(spark, "m", "1", lambda: lambda pairs: [0.5] * len(pairs))
+    pairs = spark.range(5000).select(F.concat(F.lit("steel pipe "), "id").alias("query"), F.concat(F.lit("copper pipe "), "id").alias("text"))
+    before = held()
+    out, n = store.scores(pairs)
+    _, again = store.scores(pairs)
+    assert (n, again, out.where("score = 0.5").count()) == (5000, 0, 5000)
+    assert held() - before < 5000 * 110
+
+
+def test_cut_is_compressed(spark):
+    df = spark.range(20_000).select(F.lit("the same long description of a part, again and again").alias("text"), "id")
+    folder = pathlib.Path(base_folder(spark).removeprefix("file:"))
+    held = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = held()
+    assert cut(df).count() == 20_000
+    assert held() - before < 20_000 * 20
